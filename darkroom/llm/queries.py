@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.llm.canonical import map_rows, map_to_events
 from darkroom.llm.lookalikes import find_disguised, one_form
 from darkroom.llm.ngrams import ngram_counts, term_marks
 from darkroom.session import table
@@ -76,3 +77,22 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_forms": p2_forms}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The rule that each free-typed folder name stands for, 0 if there is none."""
+    rules = table(spark, d, "tag_rules")
+    mapped = map_rows(table(spark, d, "file_records"), "file_id", "source_folder_name", rules.select("folder_name"), rules.filter("decision = 'use'"))
+    return mapped.select(F.col("record").alias("file_id"), "rule_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The free-typed folder names that stand for no rule, with the files that carry them."""
+    rules = table(spark, d, "tag_rules")
+    files = table(spark, d, "file_records").select("file_id", F.col("source_folder_name").alias("value"))
+    mapped = map_to_events(files.join(rules.select(F.col("folder_name").alias("value")), "value", "left_anti"), "value", rules.filter("decision = 'use'"))
+    counts = files.groupBy("value").agg(F.countDistinct("file_id").alias("files"))
+    return counts.join(mapped.filter("rule_id = 0"), "value").select("value", "files")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_unmatched": p5_unmatched}
