@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm.canonical import map_rows, map_to_events
+from darkroom.llm.leakage import find_passages, leaked_items
 from darkroom.llm.lookalikes import find_disguised, one_form
+from darkroom.llm.mixing import mix
 from darkroom.llm.ngrams import ngram_counts, term_marks
 from darkroom.session import table
 
@@ -96,3 +98,30 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_unmatched": p5_unmatched}
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that carry a held-out passage, wholly or partly."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out items that leaked, with the posts that carry them."""
+    return leaked_items(_leaks(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source in the mixture."""
+    return mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mix_targets"))[1]
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn posts, one row a copy."""
+    return mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mix_targets"))[0]
+
+
+QUERIES |= {"p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_report": p7_report}
