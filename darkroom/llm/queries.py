@@ -10,6 +10,7 @@ from darkroom.llm.leakage import find_passages, leaked_items
 from darkroom.llm.lookalikes import find_disguised, one_form
 from darkroom.llm.mixing import mix
 from darkroom.llm.ngrams import ngram_counts, term_marks
+from darkroom.llm.subjects import assign_subjects, composition
 from darkroom.session import table
 
 
@@ -125,3 +126,20 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_report": p7_report}
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return assign_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_examples"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with the subjects they are about."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    return composition(table(spark, d, "documents"), "doc_id", "text", _subjects(spark, d))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_composition": p8_composition}
