@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from darkroom.plans import training
+from darkroom.plans import library, training
 
-QUERIES = dict(training.QUERIES)
-ORACLES = dict(training.ORACLES)
-FLAGSHIP = "p4_summary"
+QUERIES = dict(library.QUERIES) | dict(training.QUERIES)
+ORACLES = dict(library.ORACLES) | dict(training.ORACLES)
+FLAGSHIP = "q_year_extension"
