@@ -78,7 +78,10 @@ def folder_date(folder: Column) -> Column:
 
 
 def nearest_folder_date(path: Column, levels: int = 3) -> Column:
-    return F.coalesce(*[folder_date(paths.ancestor(path, i)) for i in range(1, levels + 1)])
+    """Date of the nearest of the folders above a file that has one. The cascade of patterns is written once, over an array of the
+    names: repeated for each level it would outgrow the size of a generated method."""
+    above = F.array(*[paths.ancestor(path, i) for i in range(1, levels + 1)])
+    return F.get(F.filter(F.transform(above, folder_date), lambda x: x.isNotNull()), F.lit(0))
 
 
 _SHAPES = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}

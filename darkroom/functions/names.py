@@ -56,7 +56,7 @@ def new_name(
     if counter is not None:
         number = F.lpad(counter.cast("string"), 3, "0")
         number = F.when(counter > 999, counter.cast("string")).otherwise(number)
-        counted = F.when(out.contains("{counter}"), F.replace(out, F.lit("{counter}"), number)).otherwise(F.concat_ws("_", out, number))
+        counted = F.when(out.contains("{counter}"), F.replace(out, F.lit("{counter}"), number)).otherwise(F.concat(out, F.lit("_"), number))
         out = F.when(counter.isNull(), out).otherwise(counted)
     return _cleaned(out, path, lowercase_ext)
 

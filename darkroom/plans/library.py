@@ -155,7 +155,7 @@ def q_date_cascade(spark, d):
     base = files(spark, d).select("file_id", "source_path", "video_metadata_date", F.when(F.col("has_exif"), F.col("detected_date")).alias("exif"), kind.alias("kind"), F.to_utc_timestamp(F.col("ingested_at"), F.current_timezone()).alias("mtime"))
     sources = {
         "filename": dates.filename_date(paths.stem(path)),
-        "folder_name": dates.folder_date(paths.ancestor(path, 1)),
+        "folder_name": dates.nearest_folder_date(path, 1),
         "exif": F.when(F.col("kind") != "video", F.col("exif")),
         "video_metadata": F.when(~F.col("kind").isin("image", "raw"), F.col("video_metadata_date")),
         "filesystem": F.col("mtime").cast("timestamp_ntz"),
@@ -346,7 +346,7 @@ def q_conflict_pairs(spark, d):
 @query("q_collisions", f"""WITH {_SQL_PLAN}, h AS (SELECT *, first_value(source) OVER w AS fs, first_value(file_hash) OVER w AS fh FROM plan WINDOW w AS (PARTITION BY destination ORDER BY source)),
 o AS (SELECT *, CASE WHEN source = fs THEN 'copy' WHEN file_hash = fh THEN 'duplicate in batch' ELSE 'renamed' END AS outcome FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY destination, outcome ORDER BY source) AS n FROM o)
-SELECT source, destination, outcome, CASE outcome WHEN 'copy' THEN destination WHEN 'renamed' THEN regexp_replace(destination, '(\\.[^./]+)?$', '') || '_' || lpad(CAST(n AS VARCHAR), greatest(3, length(CAST(n AS VARCHAR))), '0') || regexp_extract(destination, '(\\.[^./]+)$', 1) END AS final_destination FROM r""")
+SELECT source, destination, outcome, CASE outcome WHEN 'copy' THEN destination WHEN 'renamed' THEN regexp_replace(destination, '(\\.[^./]+)?$', '') || '_' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || regexp_extract(destination, '(\\.[^./]+)$', 1) END AS final_destination FROM r""")
 def q_collisions(spark, d):
     return collisions.resolve_collisions(_plan(spark, d))
 
@@ -568,14 +568,14 @@ def q_plan_union(spark, d):
 
 _ISOTS = lambda c: f"CASE WHEN {c} IS NULL THEN NULL WHEN microsecond({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
 _EXPORT = f"""SELECT source_path AS path, {NAME} AS filename, size_bytes, {EXT} AS extension, {_ISOTS('detected_date')} AS date_taken, date_source, strftime(detected_date, '%Y') AS year, strftime(detected_date, '%m') AS month,
- destination_folder || '/' || coalesce(destination_filename, {NAME}) AS target_path, {_ISOTS('filename_date')} AS filename_date, date_mismatch, date_mismatch_days, {_ISOTS('video_metadata_date')} AS video_metadata_date, error_category,
+ destination_folder || '/' || coalesce(destination_filename, {NAME}) AS target_path, {_ISOTS('filename_date')} AS filename_date, date_mismatch, CAST(date_mismatch_days AS BIGINT) AS date_mismatch_days, {_ISOTS('video_metadata_date')} AS video_metadata_date, error_category,
  source_folder_name, folder_tags[1] AS folder_tag, folder_tag_reasons[1] AS folder_tag_reason, coalesce(len(folder_tags), 0) > 0 AS folder_tag_usable, proposed_destination_folder, proposed_filename,
  proposed_destination_folder || '/' || coalesce(proposed_filename, {NAME}) AS proposed_target_path, file_hash, is_duplicate, duplicate_of FROM file_records"""
 
 
 @query("q_export_rows", _EXPORT)
 def q_export_rows(spark, d):
-    return exporting.export_rows(files(spark, d)).drop("folder_tags", "folder_tag_reasons")
+    return exporting.export_rows(files(spark, d)).drop("folder_tags", "folder_tag_reasons").withColumn("date_mismatch_days", F.col("date_mismatch_days").cast("bigint"))
 
 
 @query("q_csv_rows", f"""SELECT source_path AS path, coalesce({_ISOTS('detected_date')}, '') AS date_taken, coalesce(strftime(detected_date, '%Y'), '') AS year, CASE WHEN coalesce(date_mismatch, false) THEN 'True' ELSE 'False' END AS date_mismatch,
