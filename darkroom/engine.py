@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from darkroom.config import Config
 from darkroom.functions import dates, names, paths, tags
+from darkroom.functions.instants import staged
 from darkroom.operators import actions, collisions, exporting, reports, verification
 from darkroom.operators.discovery import run_entries
-from darkroom.session import broadcast_if_small, build_session
+from darkroom.session import broadcast_if_small, build_session, materialise
 from darkroom.sources import fstree, metadata, records
 
 
@@ -46,14 +47,16 @@ class Engine:
             listed = listed.join(metadata.read_video_dates(listed.filter("file_type = 'video'"), video.provider, video.ffprobe_path, video.fallback_to_hachoir), "path", "left")
         else:
             listed = listed.withColumn("video_date", F.lit(None).cast("timestamp_ntz"))
+        from_name = dates.filename_date(paths.stem(path), cfg.filename_date.year_cutoff, cfg.filename_date.enabled)
+        listed = staged(listed, {"filename_date": from_name, "folder_date": dates.nearest_folder_date(path), "source_folder_name": paths.ancestor(path, 1)})
         sources = {
             "exif": F.col("exif_date"),
             "video_metadata": F.col("video_date"),
-            "filename": dates.filename_date(paths.stem(path), cfg.filename_date.year_cutoff, cfg.filename_date.enabled),
+            "filename": F.col("filename_date"),
             "filesystem": F.timestamp_micros("mtime_us").cast("timestamp_ntz"),
-            "folder_name": dates.nearest_folder_date(path),
+            "folder_name": F.col("folder_date"),
         }
-        found = listed.withColumns({"best": dates.cascade(sources, cfg.date_priority), "filename_date": sources["filename"], "source_folder_name": paths.ancestor(path, 1)})
+        found = staged(listed, {"best": dates.cascade(sources, cfg.date_priority)})
         if self.rules is not None:
             table = self.rules.frame(self.spark).withColumnRenamed("folder_name", "source_folder_name")
             found = found.join(broadcast_if_small(table), "source_folder_name", "left")
@@ -61,7 +64,7 @@ class Engine:
             found = found.withColumns({"decision": F.lit(None).cast("string"), "alias": F.lit(None).cast("string")})
         settings = cfg.folder_tags
         verdict = tags.classify_folder(F.col("source_folder_name"), settings.ignore_list, settings.force_list, settings.min_length, settings.max_length, F.col("decision"))
-        found = found.withColumns({"verdict": verdict, "tag": tags.format_tag(F.col("source_folder_name"), settings.max_length, F.col("alias"))})
+        found = staged(found, {"verdict": verdict, "tag": tags.format_tag(F.col("source_folder_name"), settings.max_length, F.col("alias"))})
         present = tags.tag_in_name(paths.file_name(path), F.when(F.col("verdict.usable"), F.col("tag")), settings.distance_threshold)
         days = dates.mismatch_days(F.col("best.date"), F.col("filename_date"))
         usable = F.col("verdict.usable") & ~F.col("present")
@@ -98,7 +101,7 @@ class Engine:
 
     def resolved(self, files: DataFrame, root: str, operation: str = "copy") -> DataFrame:
         """The plan with collisions resolved against what is on disk. Only contested files and those of a size seen more than once are hashed."""
-        planned = self.plan(files, root, operation)
+        planned = materialise(self.plan(files, root, operation))  # read several times below
         todo = planned.filter("operation <> 'skip'").select(F.col("source_path").alias("source"), F.col("destination_path").alias("destination"))
         taken = fstree.list_files(self.spark, root, hidden=True).filter("error is null").select(F.col("path").alias("destination")) if Path(root).is_dir() else todo.select("destination").limit(0)
         keyed = todo.withColumn("key", collisions.collision_key(F.col("destination")))
