@@ -23,10 +23,13 @@ _HAS_WORD = regex.compile(r"\p{L}")
 def own_text(text: str) -> str:
     """The post without quotes (marked lines, quote tags, block quotes, however nested), attribution lines and signature."""
     before = None
-    while before != text:
+    while before != text and ("[/" in text or "</" in text):
         before = text
         text = _BLOCK.sub("\n\n", _QUOTE.sub("\n\n", text))
-    text = _ATTRIBUTION.sub("\n", _MARKED_LINE.sub("\n", text))
+    if ">" in text or "&gt;" in text or "»" in text:
+        text = _MARKED_LINE.sub("\n", text)
+    if ":" in text:
+        text = _ATTRIBUTION.sub("\n", text)
     for m in _SIGNATURE.finditer(text):
         if len(text) - m.end() <= SIGNATURE_LENGTH and "\n\n" not in text[m.end() :].strip():
             text = text[: m.start()]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.posts import sentences
+from darkroom.session import materialise
 
 #: At most so many labelled examples are fitted on (the first by id); a documented bound of the fit, not of the corpus.
 MAX_EXAMPLES = 20_000
@@ -30,7 +31,12 @@ _WORD = regex.compile(r"[\p{L}\p{M}]{3,}")
 
 
 def terms_of(sentence: str) -> list[str]:
-    return [w.casefold() for w in _WORD.findall(sentence)]
+    return _WORD.findall(sentence.casefold())
+
+
+def padded(sentence: str) -> str:
+    """The terms of a sentence as the automaton reads them: each between single blanks of its own."""
+    return " " + "  ".join(terms_of(sentence)) + " "
 
 
 def _weigh(counts: dict[str, Counter], subjects: list[str], total: float, least: float, idle: set[str], purity: float = 0.0) -> Weights:
@@ -62,7 +68,6 @@ class Matcher:
         import ahocorasick
 
         self.strong = strong
-        self.weights = weights
         self.automaton = ahocorasick.Automaton()
         for term, by in weights.items():
             self.automaton.add_word(f" {term} ", (term, by))
@@ -70,29 +75,31 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not weights
 
-    def scores(self, words: list[str]) -> dict[str, float]:
-        """Sum of the weights of the distinct terms of one sentence, by subject, reduced for very long sentences."""
-        if self.empty or not words:
-            return {}
-        found = {term: by for _, (term, by) in self.automaton.iter(" " + "  ".join(words) + " ")}
+    def hits(self, line: str) -> dict[str, dict[str, float]]:
+        """The weighted terms in one padded sentence."""
+        return {} if self.empty else {term: by for _, (term, by) in self.automaton.iter(line)}
+
+    def scores(self, line: str, found: dict[str, dict[str, float]]) -> dict[str, float]:
+        """Sum of the weights of the distinct terms found, by subject, reduced for very long sentences."""
         out: dict[str, float] = {}
         for by in found.values():
             for s, w in by.items():
                 out[s] = out.get(s, 0.0) + w
-        norm = max(1.0, math.sqrt(len(words) / 20))
-        return {s: v / norm for s, v in out.items()}
+        norm = max(1.0, math.sqrt((line.count("  ") + 1) / 20))
+        return {s: v / norm for s, v in out.items()} if norm > 1 else out
 
-    def sure(self, words: list[str]) -> str:
+    def sure(self, line: str) -> str:
         """The one subject that two different terms or a strong one speak for, else the empty text."""
-        found = self.subjects(words)
-        if len(found) != 1:
+        found = self.hits(line)
+        subjects = self.subjects(line, found)
+        if len(subjects) != 1:
             return ""
-        terms = {w for w in words if found[0] in self.weights.get(w, ())}
-        return found[0] if len(terms) > 1 or terms & self.strong else ""
+        terms = {t for t, by in found.items() if subjects[0] in by}
+        return subjects[0] if len(terms) > 1 or terms & self.strong else ""
 
-    def subjects(self, words: list[str]) -> list[str]:
+    def subjects(self, line: str, found: dict[str, dict[str, float]] | None = None) -> list[str]:
         """Subjects whose score is over the threshold and near the best."""
-        scores = self.scores(words)
+        scores = self.scores(line, self.hits(line) if found is None else found)
         if not scores:
             return []
         best = max(scores.values())
@@ -122,30 +129,39 @@ def strong_seeds(examples: list[tuple[str, str | None]], seeds: Weights) -> set[
     return {t for t, found in labels.items() if len(found) >= 3 and len(set(found)) == 1}
 
 
-def corpus_weights(docs: DataFrame, text: str, seeds: Weights, strong: set[str], subjects: list[str], idle: set[str] = frozenset()) -> Weights:
-    """Term weights over the whole corpus: own sentences are labelled by the seeds, each term's sentences counted by label. Each batch sends
-    one partial count per term and label."""
+def own_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id`` and the padded terms of every own sentence. Null texts and ids give no row."""
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[padded(x) for x in sentences(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.string()))], names=["doc_id", "lines"])
+
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return kept.mapInArrow(split, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lines array<string>")
+
+
+def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects: list[str], idle: set[str] = frozenset()) -> Weights:
+    """Term weights over the whole corpus (``own_lines``): sentences are labelled by the seeds, each term's sentences counted by label. Each batch
+    sends one partial count per term and label."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(seeds, strong)
         for batch in batches:
-            seen: Counter = Counter()
-            for value in batch.column(0).to_pylist():
-                for sentence in sentences(value):
-                    words = terms_of(sentence)
-                    label = matcher.sure(words)
-                    seen["", ""] += 1
-                    for w in set(words):
-                        seen[w, label] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["term", "label", "n"])
-
-    kept = docs.select(F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    partial = kept.mapInArrow(count, "term string, label string, n bigint")
+            seen: dict[str, Counter] = {}
+            for line in batch.column(0).flatten().to_pylist():
+                by = seen.setdefault(matcher.sure(line), Counter())
+                by.update(set(line.split()))
+                by[""] += 1
+            keys = [(t, label, n) for label, by in seen.items() for t, n in by.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())], names=["term", "label", "n"])
+
+    partial = posts.select("lines").mapInArrow(count, "term string, label string, n bigint")
     by_term = partial.groupBy("term", "label").agg(F.sum("n").alias("n")).groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"), F.sum("n").alias("n"))
-    total = (by_term.filter("term = ''").select("n").first() or [0])[0]
+    stored = materialise(by_term)
+    total = (stored.filter("term = ''").select("n").first() or [0])[0]
     least = max(5.0, LEAST_SHARE * total)
-    counts = {r["term"]: Counter(r["by"]) for r in by_term.filter((F.col("n") >= least) & (F.col("term") != "")).toLocalIterator()}
+    counts = {r["term"]: Counter(r["by"]) for r in stored.filter((F.col("n") >= least) & (F.col("term") != "")).toLocalIterator()}
     return _weigh(counts, subjects, total, least, idle)
 
 
@@ -153,10 +169,9 @@ def strong_terms(weights: Weights) -> set[str]:
     return {t for t, by in weights.items() if max(by.values()) >= STRONG_WEIGHT}
 
 
-def post_subjects(weights: Weights, text: str) -> dict[str, tuple[int, int]]:
+def post_subjects(matcher: Matcher, lines: list[str]) -> dict[str, tuple[int, int]]:
     """Own sentences about each subject, and all own sentences."""
-    matcher = weights if isinstance(weights, Matcher) else Matcher(weights)
-    own = [matcher.subjects(terms_of(x)) for x in sentences(text)]
+    own = [matcher.subjects(line) for line in lines]
     clear = Counter(found[0] for found in own if len(found) == 1)
     about: Counter = Counter()
     for found in own:
@@ -179,8 +194,9 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame
     labelled = [(r["text"] or "", r["subject"]) for r in examples.select("example_id", "text", "subject").orderBy("example_id").limit(MAX_EXAMPLES).collect()]
     seeds = seed_weights(labelled, names)
     idle = idle_terms(labelled)
-    weights = corpus_weights(docs, text, seeds, strong_seeds(labelled, seeds), names, idle)
-    weights = corpus_weights(docs, text, seeds | weights, strong_terms(weights), names, idle)
+    posts = materialise(own_lines(docs, doc_id, text))  # read three times
+    weights = corpus_weights(posts, seeds, strong_seeds(labelled, seeds), names, idle)
+    weights = corpus_weights(posts, seeds | weights, strong_terms(weights), names, idle)
     for term, by in seeds.items():
         weights.setdefault(term, by)
 
@@ -195,8 +211,7 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame
                             column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], names=["doc_id", "subject", "about", "sentences"])
 
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    found = kept.mapInArrow(assign, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, subject string, about int, sentences int")
+    found = posts.mapInArrow(assign, f"doc_id {posts.schema['doc_id'].dataType.simpleString()}, subject string, about int, sentences int")
     return found.groupBy("doc_id", "subject").agg(F.max("about").alias("about"), F.max("sentences").alias("sentences"))
 
 
