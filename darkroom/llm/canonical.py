@@ -132,8 +132,7 @@ class Events:
         for rule, _, alias in self.rules:
             words, year = split[rule]
             cuts = range(1, len(words)) if len(words) > 1 else [len(words)]
-            both = lambda k: sorted((starts[tuple(words[:k])], ends[tuple(words[k:])]))  # noqa: E731, B023
-            k = max(cuts, key=lambda k: (both(k), -k))
+            k = max(cuts, key=lambda k: self._cut_rank(words, k, starts, ends))
             place, occasion = tuple(words[:k]), tuple(words[k:])
             self.parts[rule] = [(self._fold(place), self._fold(occasion), year, " ".join(place).casefold(), False)]
             if alias:
@@ -143,6 +142,12 @@ class Events:
                 if not own and two:
                     self.parts[rule].append((two[:1], two[1:], alias_year, two[0], True))
 
+    @staticmethod
+    def _cut_rank(words: list[str], k: int, starts: Counter, ends: Counter) -> tuple:
+        """How well a name falls into place and occasion after k words: both halves recur; words that always stand together stay together."""
+        seen = starts[tuple(words[:k])]
+        return sorted((seen, ends[tuple(words[k:])])), k if seen > 1 else -k
+
     @staticmethod
     def _fold(words: tuple[str, ...]) -> tuple[str, ...]:
         return tuple(w for word in words for w in _WORD.findall(folded(word)))

@@ -20,9 +20,11 @@ SHARE_OF_SENTENCES = 0.25
 SEED_PURITY, SEED_COUNT = 0.7, 2
 SENTENCE_THRESHOLD, SENTENCE_MARGIN = 1.5, 0.7
 TERM_WEIGHT = 1.1
+PURE_TERM, COMMON = 2.6, 50
 #: A term of an example about no subject counts only if this share of its sentences is of one subject.
-IDLE_PURITY = 0.6
-STRONG_WEIGHT = 1.9
+IDLE_PURITY = 0.9
+STRONG_WEIGHT, LABEL_WEIGHT = 2.3, 2.0
+PASSES = 3
 #: A term must stand in at least this share of all own sentences (and in five), which bounds the number of terms whatever the corpus.
 LEAST_SHARE = 1e-5
 
@@ -40,7 +42,8 @@ def padded(sentence: str) -> str:
 
 
 def _weigh(counts: dict[str, Counter], subjects: list[str], total: float, least: float, idle: set[str], purity: float = 0.0) -> Weights:
-    """Weight of a term for a subject: log of its share there over an even share, times its rarity; only weights above ``TERM_WEIGHT``."""
+    """Weight of a term for a subject: log of its share there over an even share, scaled so that a term of one subject only has ``PURE_TERM`` however many
+    subjects there are, times its rarity (1 up to one sentence in ``COMMON``); only weights above ``TERM_WEIGHT``."""
     out: Weights = {}
     classes = len(subjects) + 1
     for term, by in counts.items():
@@ -49,11 +52,11 @@ def _weigh(counts: dict[str, Counter], subjects: list[str], total: float, least:
             continue
         if term in idle and max((by[s] for s in subjects), default=0) < IDLE_PURITY * n:
             continue
-        rarity = min(1.0, max(0.3, math.log((total + 1) / n) / math.log(200)))
+        rarity = min(1.0, max(0.6, math.log((total + 1) / n) / math.log(COMMON)))
         found = {}
         for s in subjects:
             if by[s]:
-                w = math.log((by[s] + 0.1) / (n + 0.1 * classes) * classes)
+                w = PURE_TERM * math.log((by[s] + 0.1) / (n + 0.1 * classes) * classes) / math.log(classes)
                 if w >= TERM_WEIGHT:
                     found[s] = round(w * rarity, 4)
         if found:
@@ -88,14 +91,19 @@ class Matcher:
         norm = max(1.0, math.sqrt((line.count("  ") + 1) / 20))
         return {s: v / norm for s, v in out.items()} if norm > 1 else out
 
-    def sure(self, line: str) -> str:
-        """The one subject that two different terms or a strong one speak for, else the empty text."""
+    def judged(self, line: str) -> tuple[list[str], bool]:
+        """The subjects of a sentence, and whether two different terms or a strong one speak for the first."""
         found = self.hits(line)
         subjects = self.subjects(line, found)
-        if len(subjects) != 1:
-            return ""
+        if not subjects:
+            return subjects, False
         terms = {t for t, by in found.items() if subjects[0] in by}
-        return subjects[0] if len(terms) > 1 or terms & self.strong else ""
+        return subjects, len(terms) > 1 or bool(terms & self.strong)
+
+    def sure(self, line: str) -> str:
+        """The one subject of a sentence if it is beyond doubt, else the empty text."""
+        subjects, firm = self.judged(line)
+        return subjects[0] if firm and len(subjects) == 1 else ""
 
     def subjects(self, line: str, found: dict[str, dict[str, float]] | None = None) -> list[str]:
         """Subjects whose score is over the threshold and near the best."""
@@ -165,18 +173,19 @@ def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects:
     return _weigh(counts, subjects, total, least, idle)
 
 
-def strong_terms(weights: Weights) -> set[str]:
-    return {t for t, by in weights.items() if max(by.values()) >= STRONG_WEIGHT}
+def strong_terms(weights: Weights, least: float = STRONG_WEIGHT) -> set[str]:
+    return {t for t, by in weights.items() if max(by.values()) >= least}
 
 
 def post_subjects(matcher: Matcher, lines: list[str]) -> dict[str, tuple[int, int]]:
     """Own sentences about each subject, and all own sentences."""
-    own = [matcher.subjects(line) for line in lines]
-    clear = Counter(found[0] for found in own if len(found) == 1)
+    own = [matcher.judged(line) for line in lines]
+    clear = Counter(found[0] for found, firm in own if firm and len(found) == 1)
     about: Counter = Counter()
-    for found in own:
+    for found, firm in own:
         most = max((clear[s] for s in found), default=0)
-        about.update(s for s in found if clear[s] == most)  # a sentence of several subjects follows the rest of the post
+        if firm or most:  # a doubtful sentence, and one of several subjects, follows the rest of the post
+            about.update(s for s in found if clear[s] == most)
     return {s: (n, len(own)) for s, n in about.items()}
 
 
@@ -184,7 +193,8 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame
     """Every post with the subjects that at least ``share`` of its own sentences are about: ``doc_id``, ``subject``, ``about``, ``sentences``.
 
     ``examples`` has example_id, text and subject (null: about none), ``subjects`` has subject. Seed terms come from the examples, their weights and
-    further terms (other languages, rarer words) from all own sentences of the corpus, counted twice: labelled by the seeds, then by the first weights. Sentences are matched by one automaton of all
+    further terms (other languages, rarer words) from all own sentences of the corpus, counted in ``PASSES`` rounds: labelled by the seeds, then by the
+    weights of the round before. Sentences are matched by one automaton of all
     weighted terms; every subject over the thresholds is assigned.
 
     Defined cases: null texts and ids give no row; texts without own sentences have no subject; repeated rows give one row; without examples no post
@@ -194,14 +204,15 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame
     labelled = [(r["text"] or "", r["subject"]) for r in examples.select("example_id", "text", "subject").orderBy("example_id").limit(MAX_EXAMPLES).collect()]
     seeds = seed_weights(labelled, names)
     idle = idle_terms(labelled)
-    posts = materialise(own_lines(docs, doc_id, text))  # read three times
+    posts = materialise(own_lines(docs, doc_id, text))  # read by every pass
     weights = corpus_weights(posts, seeds, strong_seeds(labelled, seeds), names, idle)
-    weights = corpus_weights(posts, seeds | weights, strong_terms(weights), names, idle)
+    for _ in range(PASSES - 1):
+        weights = corpus_weights(posts, seeds | weights, strong_terms(weights, LABEL_WEIGHT), names, idle)
     for term, by in seeds.items():
         weights.setdefault(term, by)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(weights)
+        matcher = Matcher(weights, strong_terms(weights))
         for batch in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for i, value in enumerate(batch.column(1).to_pylist()):
