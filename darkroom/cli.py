@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tag-names", action=flag), p.add_argument("--structure"), p.add_argument("--limit", type=int), p.add_argument("--on-collision")
     p = command("verify")
     p.add_argument("--run-id"), p.add_argument("--last", action="store_true"), p.add_argument("--algorithm", default="sha256"), p.add_argument("--include-dry-runs", action="store_true")
+    p.add_argument("--reconstruct", action="store_true"), p.add_argument("--source"), p.add_argument("--destination")
     p = command("cleanup")
     p.add_argument("--verify-id"), p.add_argument("--last", action="store_true"), p.add_argument("--dry-run", action=flag, default=True)
     p = command("export", "format", "source")
@@ -113,6 +114,13 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
         record = engine.apply(args.source, args.destination, dry, args.move, str(state))
         show({"record": record.path, "summary": records.summarise(record.entries), "failed": len(record.batch.failed)})
         return int(bool(record.batch.failed))
+    elif args.command == "verify" and args.reconstruct:
+        if not args.source or not args.destination:
+            print("--reconstruct needs --source and --destination", file=sys.stderr)
+            return 2
+        report = engine.verify_reconstructed(args.source, args.destination, args.algorithm)
+        path = engine.save_verification(report, None, (args.source, args.destination), str(state))
+        show({"report": path, "statuses": reports.as_map(report.groupBy("status").agg(F.count(F.lit(1)).alias("files")), "status")})
     elif args.command == "verify":
         runs = records.read_runs(engine.spark, str(state / cfg.verify.run_record_dir))
         runs = discovery.find_by_id(runs, "run_id", args.run_id) if args.run_id else discovery.latest_run(runs if args.include_dry_runs else runs.filter("mode <> 'dry_run'"))

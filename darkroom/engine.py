@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import dataclasses
 import io
 import json
 from datetime import datetime
@@ -19,6 +20,19 @@ from darkroom.operators.discovery import run_entries
 from darkroom.session import broadcast_if_small, build_session, materialise
 from darkroom.sources import fstree, metadata, records
 
+SQL_FUNCTIONS = {
+    "path_name(p STRING) RETURNS STRING": "substring_index(p, '/', -1)",
+    "path_suffix(p STRING) RETURNS STRING": "regexp_extract(substring_index(p, '/', -1), '^.*[^.](\\\\.[^.]+)$', 1)",
+    "destination_folder(d TIMESTAMP_NTZ, structure STRING) RETURNS STRING": "CASE structure WHEN 'YYYY' THEN date_format(d, 'yyyy') WHEN 'YYYY/MM/DD' THEN date_format(d, 'yyyy/MM/dd') ELSE date_format(d, 'yyyy/MM') END",
+}
+
+
+def scan_directory(path: str, recursive: bool = True, include_videos: bool = True, limit: int | None = None) -> DataFrame:
+    """Scan with default settings."""
+    base = Config()
+    general = dataclasses.replace(base.general, recursive=recursive, include_videos=include_videos)
+    return Engine(config=dataclasses.replace(base, general=general, scan=dataclasses.replace(base.scan, limit=limit))).scan(path)
+
 
 class Engine:
     def __init__(self, spark: SparkSession | None = None, config: Config | None = None, rules: records.TagRules | None = None):
@@ -153,6 +167,23 @@ class Engine:
         checked = verification.verify(entries, sources, targets, algorithm)
         return checked.withColumn("hash_algorithm", F.lit(algorithm))
 
+    def verify_reconstructed(self, source: str, destination: str, algorithm: str = "sha256") -> DataFrame:
+        """Without a run record: the plan is made again and compared with the destination; with ``content_search_on_reconstruct`` a file missing at its
+        expected place is looked for by extension, size and hash. Renames after collisions are not known, so a file that lost its place
+        is compared with the winner's."""
+        planned = materialise(self.plan(self.scan(source), destination).filter("operation = 'copy'"))
+        runs = planned.select(F.lit(None).cast("string").alias("run_id"), "source_path", "destination_path", "operation")
+        sources = self.hashed_listing(runs.select(F.col("source_path").alias("path")))
+        found = fstree.list_files(self.spark, destination, hidden=True).filter("error is null") if Path(destination).is_dir() else fstree.list_files(self.spark, source).limit(0)
+        targets = self.hashed_listing(found)
+        checked = materialise(verification.verify(runs, sources, targets, algorithm))
+        if self.config.verify.content_search_on_reconstruct and algorithm == "sha256":
+            lost = checked.filter("status = 'missing_destination'")
+            hits = verification.search_content(lost.select(F.col("source_path").alias("path"), F.lit(None).cast("bigint").alias("size_bytes"), F.col("source_hash").alias("file_hash")).fillna({"size_bytes": 0}), targets.fillna({"size_bytes": 0}))
+            hits = hits.filter("match is not null").select(F.col("path").alias("source_path"), "match")
+            checked = checked.join(hits, "source_path", "left").withColumns({"status": F.when(F.col("match").isNotNull(), "ok_existing_duplicate").otherwise(F.col("status")), "destination_path": F.coalesce("match", "destination_path")}).drop("match")
+        return checked.withColumn("hash_algorithm", F.lit(algorithm))
+
     def save_verification(self, report: DataFrame, run_id: str, roots: tuple[str, str], state: str | None = None) -> Path:
         rows = [r.asDict() for r in report.orderBy("source_path").collect()]
         entries = [
@@ -193,6 +224,8 @@ class Engine:
     def register_functions(self) -> None:
         """SQL names for the expressions (as SQL functions where they are plain SQL) and the near-match UDF."""
         self.spark.udf.register("tag_in_name", tags._tag_in_name)
+        for head, body in SQL_FUNCTIONS.items():
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
     def register_views(self, **frames: DataFrame) -> None:
         for name, frame in frames.items():

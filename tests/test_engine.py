@@ -92,6 +92,26 @@ def test_apply_verify_clean_up(spark, library, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_reconstructed_verification(spark, library, tmp_path):
+    import dataclasses
+
+    cfg = dataclasses.replace(config.Config(), verify=dataclasses.replace(config.Config().verify, content_search_on_reconstruct=True))
+    engine = Engine(spark, cfg)
+    out = tmp_path / "sorted"
+    (out / "2024/03").mkdir(parents=True), (out / "else").mkdir()
+    (out / "2024/03/a.jpg").write_bytes((library / "Paris 2024/a.jpg").read_bytes())
+    (out / "else/moved.jpg").write_bytes((library / "k=v/c.JPG").read_bytes())
+    got = {r.source_path.rsplit("/library/", 1)[1]: r.status for r in engine.verify_reconstructed(str(library), str(out)).collect()}
+    assert got["Paris 2024/a.jpg"] == "ok" and got["twin/a.jpg"] == "ok" and got["Paris 2024/b/a.jpg"] == "mismatch"
+    assert got["k=v/c.JPG"] == "ok_existing_duplicate" and got["clip.mp4"] == "missing_destination"
+
+
+def test_sql_functions(spark):
+    Engine(spark)
+    row = spark.sql("select path_name('/a/b.JPG'), path_suffix('/a/b.JPG'), destination_folder(timestamp_ntz'2024-03-05 00:00:00', 'YYYY/MM/DD'), tag_in_name('Paris_1.jpg', 'paris', 0.75)").first()
+    assert row[:] == ("b.JPG", ".JPG", "2024/03/05", True)
+
+
 def test_exports(spark, library, tmp_path):
     engine = Engine(spark, config.Config())
     files = engine.scan(str(library))
