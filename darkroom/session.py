@@ -64,6 +64,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as the cluster has cores, twice: for few bytes that cost much Python time each, which would else be put into one task."""
+    context = df.sparkSession.sparkContext
+    parts = max(2 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join for a big side with hot keys: its rows are spread over ``salts`` copies of the (unique-keyed) small side.
 
