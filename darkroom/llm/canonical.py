@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.lookalikes import one_form
-from darkroom.session import broadcast_if_small, salted_join
+from darkroom.session import broadcast_if_small, salted_join, spread
 
 COSINE_THRESHOLD = 0.2
 MARGIN = 0.25
 GRAM = 3
 UNREAD_WORD = 0.7
 
+#: Short forms whose letters do not follow those of the word.
+SHORT_FORMS = {("ste", "saint"), ("bros", "brothers"), ("xmas", "christmas")}
 _LETTER_FOLDS = {"ø": "o", "ß": "ss", "ı": "i", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ς": "σ"}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _CAMEL = regex.compile(r"(?<=[\p{Ll}\p{Lo}\p{N}])(?=\p{Lu})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
@@ -79,6 +81,8 @@ def shortens(short: str, word: str) -> bool:
     """Whether a word is written short: same first letter, its letters in order, two at least."""
     if not (2 <= len(short) < len(word)) or short[0] != word[0]:
         return False
+    if (short, word) in SHORT_FORMS:
+        return True
     left = iter(word)
     if all(ch in left for ch in short):
         return True
@@ -111,6 +115,16 @@ def phrase_cost(window: tuple[str, ...], phrase: tuple[str, ...]) -> float | Non
     return best
 
 
+def place_cost(window: tuple[str, ...], phrase: tuple[str, ...], written: str, raw: str) -> float | None:
+    """As ``phrase_cost``, or by the letters as written where folding them makes one letter two."""
+    cost = phrase_cost(window, phrase)
+    if len(raw) != len(" ".join(phrase)):
+        edits = distance(written, raw, _allowed(raw))
+        if edits <= _allowed(raw) and (cost is None or edits < cost):
+            return float(edits)
+    return cost
+
+
 @dataclass
 class Events:
     """The reference list taken apart: its places, occasions and years."""
@@ -134,7 +148,7 @@ class Events:
             cuts = range(1, len(words)) if len(words) > 1 else [len(words)]
             k = max(cuts, key=lambda k: self._cut_rank(words, k, starts, ends))
             place, occasion = tuple(words[:k]), tuple(words[k:])
-            self.parts[rule] = [(self._fold(place), self._fold(occasion), year, " ".join(place).casefold(), False)]
+            self.parts[rule] = [(self._fold(place), self._fold(occasion), year, " ".join(place).lower(), False)]
             if alias:
                 alias_year, rest = year_of(alias)
                 own = folded("".join(_WORD.findall(rest))) == "".join(self._fold(place) + self._fold(occasion))
@@ -165,7 +179,7 @@ def tokenisations(name: str) -> list[tuple[list[str], list[str]]]:
         cuts.append(_CAMEL.sub(" ", name.swapcase()))
     out: list[tuple[list[str], list[str]]] = []
     for cut in cuts:
-        words = [w.casefold() for w in _WORD.findall(cut)]
+        words = [w.lower() for w in _WORD.findall(cut)]
         pair = ([folded(w) for w in words], words)
         if words and pair not in out:
             out.append(pair)
@@ -189,8 +203,8 @@ def read_name(name: str, events: Events, rules: list[int]) -> list[tuple[float,
             for j in range(i + 1, min(len(words), i + 5) + 1):
                 window = tuple(words[i:j])
                 for p, raw, alias in places:
-                    if abs(len(p) - len(window)) <= 2 and (cost := phrase_cost(window, p)) is not None:
-                        written = " ".join(raw_words[i:j])
+                    written = " ".join(raw_words[i:j])
+                    if abs(len(p) - len(window)) <= 2 and (cost := place_cost(window, p, written, raw)) is not None:
                         found_places.append((cost + 0.01 * distance(written, raw, 9), i, j, p, raw, alias))
                 for o, alias in occasions:
                     if abs(len(o) - len(window)) <= 2 and (cost := phrase_cost(window, o)) is not None:
@@ -296,7 +310,7 @@ def map_to_events(values: DataFrame, value: str, rules: DataFrame) -> DataFrame:
                 chosen.append(rule)
             yield pd.DataFrame({"form": frame["form"], "rule_id": chosen, "score": frame["score"]})
 
-    accepted = candidates.repartition("form").mapInPandas(agree, "form string, rule_id bigint, score double")
+    accepted = spread(candidates, "form").mapInPandas(agree, "form string, rule_id bigint, score double")
     return forms.join(accepted, "form", "left").select("value", F.coalesce("rule_id", F.lit(0)).cast("bigint").alias("rule_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

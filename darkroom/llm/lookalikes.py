@@ -60,32 +60,29 @@ def scripts_of(token: str) -> dict[str, int]:
     return {s: n for s in SCRIPTS if (n := len(_SCRIPT[s].findall(token)))}
 
 
-def repairs(token: str, dominant: str | None) -> list[str]:
-    """Readings of a token in one script, the token's dominant script first; only for mixed-script tokens and for tokens wholly of
-    look-alikes foreign to the dominant script of the text around them."""
+def repairs(token: str, around: tuple[str, ...] = ()) -> list[str]:
+    """Readings of a token in one script, best first: of a mixed-script token, its dominant script's first; of a token wholly of look-alikes in a text
+    that has letters of other scripts (``around``), the token as it stands, then its readings in those. Others have none."""
     found = scripts_of(token)
     mixed = len(found) > 1
-    if not found or (not mixed and (dominant is None or dominant in found)):
+    if not found or (not mixed and not set(around) - set(found)):
         return []
-    order = sorted(SCRIPTS, key=lambda s: (-found.get(s, 0), SCRIPTS.index(s))) if mixed else [dominant]
-    out = []
+    order = sorted(SCRIPTS, key=lambda s: (-found.get(s, 0), SCRIPTS.index(s))) if mixed else [s for s in around if s not in found]
+    plain = unicodedata.normalize("NFD", token)
+    out: list[str] = []
     for script in order:
-        reading = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_tables()[script]))
+        reading = unicodedata.normalize("NFC", plain.translate(_tables()[script]))
         if set(scripts_of(reading)) <= {script} and reading != token and reading not in out:
             out.append(reading)
-    return out
+    return out if mixed or not out else [token, *out]
 
 
 def _parts(text: str) -> list[tuple[str, list[str]]]:
     """The text cut into tokens and what stands between them; tokens with their possible repairs."""
-    total: dict[str, int] = {}
-    for token in _TOKEN.findall(text):
-        for script, n in scripts_of(token).items():
-            total[script] = total.get(script, 0) + n
-    dominant = max(total, key=lambda s: (total[s], -SCRIPTS.index(s))) if len(total) > 1 else None
+    around = tuple(scripts_of(text))
     out, end = [], 0
     for m in _TOKEN.finditer(text):
-        out += [(text[end : m.start()], []), (m.group(), repairs(m.group(), dominant))]
+        out += [(text[end : m.start()], []), (m.group(), repairs(m.group(), around) if len(around) > 1 else [])]
         end = m.end()
     return [*out, (text[end:], [])]
 

@@ -51,9 +51,10 @@ def test_base_form():
 
 
 def test_repairs_only_touch_mixed_tokens():
-    assert repairs("Ѕandgrοve", None)[0] == "Sandgrove"
-    assert repairs("Озеро", None) == [] and repairs("Plain", None) == [] and repairs("Саре", "Latin") == ["Cape"] and repairs("2020", "Latin") == []
-    assert repairs("Oзepo", None) == ["Озеро"]
+    assert repairs("Ѕandgrοve")[0] == "Sandgrove"
+    assert repairs("Озеро") == [] and repairs("Plain") == [] and repairs("2020", ("Latin", "Greek")) == []
+    assert repairs("Саре", ("Latin", "Cyrillic")) == ["Саре", "Cape"] and repairs("Озеро", ("Latin", "Cyrillic")) == []
+    assert repairs("Oзepo") == ["Озеро"]
 
 
 def test_one_form(spark):
