@@ -58,7 +58,7 @@ def best_path(rows: list[list[Candidate]], first: int | None = None, last: int |
 
 
 def _rows(frame: pd.DataFrame) -> Iterator[tuple[str, list[Candidate]]]:
-    for source, candidates in zip(frame["__source"], frame["__candidates"], strict=True):
+    for source, candidates in zip(frame["__viterbi_source"], frame["__viterbi_candidates"], strict=True):
         yield source, [(c["prior"], c["fmt"], c["instant_us"]) for c in candidates]
 
 
@@ -69,7 +69,7 @@ def _border_matrices(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part = None
     for frame in frames:
         if len(frame) and part is None:
-            part = int(frame["__part"].iloc[0])
+            part = int(frame["__viterbi_part"].iloc[0])
         for source, row in _rows(frame):
             if now is None or now["source"] != source:
                 if now is not None:
@@ -139,18 +139,20 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
     Defined cases: rows with no candidate (null or empty array) take no part in the sequence and get null (they are left
     out if ``keep_unread`` is false); a null source is a source of
     its own; equal order values are taken in the order of all order columns, then of the candidates; ties between paths go to the
-    earlier candidate; an empty table gives an empty table. Other columns pass through, whatever they are called.
+    earlier candidate; an empty table gives an empty table. Other columns pass through; one named like
+    ``into`` is replaced.
     """
+    df = df.drop(into) if into in df.columns and into not in (candidates, *source, *order) else df
     some = F.size(F.coalesce(F.col(candidates), F.array().cast(CANDIDATES))) > 0
     kind = "struct<prior:double,fmt:string,instant_us:bigint>"
-    keyed = df.filter(some).select("*", F.to_json(F.struct(*source), {"ignoreNullFields": "false"}).alias("__source"), F.col(candidates).cast(CANDIDATES).alias("__candidates"))
-    ranged = keyed.repartitionByRange("__source", *order, F.to_json("__candidates")).sortWithinPartitions("__source", *order, F.to_json("__candidates"))
-    fixed_rows = materialise(ranged.withColumn("__part", F.spark_partition_id()))
-    borders = fixed_rows.select("__part", "__source", "__candidates").mapInPandas(
+    keyed = df.filter(some).select("*", F.to_json(F.struct(*source), {"ignoreNullFields": "false"}).alias("__viterbi_source"), F.col(candidates).cast(CANDIDATES).alias("__viterbi_candidates"))
+    ranged = keyed.repartitionByRange("__viterbi_source", *order, F.to_json("__viterbi_candidates")).sortWithinPartitions("__viterbi_source", *order, F.to_json("__viterbi_candidates"))
+    fixed_rows = materialise(ranged.withColumn("__viterbi_part", F.spark_partition_id()))
+    borders = fixed_rows.select("__viterbi_part", "__viterbi_source", "__viterbi_candidates").mapInPandas(
         _border_matrices, f"part int, place int, source string, head {CANDIDATES}, tail {CANDIDATES}, matrix array<double>"
     )
     fixed = _join_borders(borders.collect())  # at most two rows a partition
-    names = [c for c in fixed_rows.columns if not c.startswith("__")]
+    names = df.columns
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # rows since the last row with a single candidate, which is the first of them
@@ -160,7 +162,7 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
 
         def settle(upto: int, ended: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows, sources
-            part = held["__part"][0].as_py()
+            part = held["__viterbi_part"][0].as_py()
             chosen: list[dict] = []
             start = 0
             while start < upto:
@@ -186,8 +188,8 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
                 continue
             new = pa.Table.from_batches([batch])
             held = new if held is None else pa.concat_tables([held, new])
-            sources += new["__source"].to_pylist()
-            rows += [[(c["prior"], c["fmt"], c["instant_us"]) for c in row] for row in new["__candidates"].to_pylist()]
+            sources += new["__viterbi_source"].to_pylist()
+            rows += [[(c["prior"], c["fmt"], c["instant_us"]) for c in row] for row in new["__viterbi_candidates"].to_pylist()]
             # what stands before the last single-candidate row is settled
             cut = next((i for i in range(len(rows) - 1, 0, -1) if len(rows[i]) == 1), 0)
             if cut:

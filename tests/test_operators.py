@@ -61,7 +61,7 @@ def test_viterbi_over_partitions_equals_one_sequence(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        frame = spark.createDataFrame(rows, f"s string, i int, c {CANDIDATES}, chosen_ string")
+        frame = spark.createDataFrame(rows, f"s string, i int, c {CANDIDATES}, __source string").withColumn("chosen", F.lit(1))
         got = {r.i: r.chosen for r in choose_by_viterbi(frame, ["s"], ["i"], "c").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
