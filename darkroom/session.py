@@ -65,10 +65,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over as many tasks as the cluster has cores, twice: for few bytes that cost much Python time each, which would else be put into one task."""
+    """Rows over as many tasks as the cluster has cores, twice: for few bytes that cost much Python time each, which would else be put into one task.
+    The hash of the keys is taken, not the keys: a repartitioning that the plan already has would be left out, and its partitions put together."""
     context = df.sparkSession.sparkContext
     parts = max(2 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *keys)
+    return df.repartition(parts, F.xxhash64(*keys))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
