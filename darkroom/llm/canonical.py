@@ -58,7 +58,7 @@ def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap neighbours) between two words, ``most + 1`` if there are more than ``most``."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most or sum((Counter(b) - Counter(a)).values()) > most:
+    if abs(len(a) - len(b)) > most or len(set(a) - set(b)) > most or len(set(b) - set(a)) > most:
         return most + 1
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -107,10 +107,10 @@ def phrase_cost(window: tuple[str, ...], phrase: tuple[str, ...]) -> float | Non
             total += d
         best = total
     joined, target = "".join(window), "".join(phrase)
-    d = distance(joined, target, _allowed(target))
-    if d <= _allowed(target) and (best is None or d < best):
+    most = _allowed(target)
+    if abs(len(joined) - len(target)) <= most and (d := distance(joined, target, most)) <= most and (best is None or d < best):
         best = float(d)
-    if best is None and len(window) > 1 and len(phrase) == 1 and shortens(joined, target):
+    if best is None and len(window) > 1 and len(phrase) == 1 and joined[:1] == target[:1] and shortens(joined, target):
         best = 0.4
     return best
 
@@ -156,6 +156,11 @@ class Events:
                 if not own and two:
                     self.parts[rule].append((two[:1], two[1:], alias_year, two[0], True))
 
+        every = [part for parts in self.parts.values() for part in parts]
+        self.places = sorted({(p, raw, alias) for p, _, _, raw, alias in every})
+        self.occasions = sorted({(o, alias) for _, o, _, _, alias in every})
+        self.pairs = {(p, raw, o) for p, o, _, raw, alias in every if alias}
+
     @staticmethod
     def _cut_rank(words: list[str], k: int, starts: Counter, ends: Counter) -> tuple:
         """How well a name falls into place and occasion after k words: both halves recur; words that always stand together stay together."""
@@ -193,17 +198,15 @@ def read_name(name: str, events: Events, rules: list[int]) -> list[tuple[float,
     place or occasion is nearer to another one does not agree with a rule by its remaining words.
     """
     year, rest = year_of(name)
-    places = {(p, raw, alias) for parts in events.parts.values() for p, _, _, raw, alias in parts}
-    occasions = {(o, alias) for parts in events.parts.values() for _, o, _, _, alias in parts}
-    pairs = {(p, raw, o) for parts in events.parts.values() for p, o, _, raw, alias in parts if alias}
+    places, occasions, pairs = events.places, events.occasions, events.pairs
     readings: dict[tuple, float] = {}
     for words, raw_words in tokenisations(rest):
         found_places, found_occasions = [], []
         for i in range(len(words)):
             for j in range(i + 1, min(len(words), i + 5) + 1):
                 window = tuple(words[i:j])
+                written = " ".join(raw_words[i:j])
                 for p, raw, alias in places:
-                    written = " ".join(raw_words[i:j])
                     if abs(len(p) - len(window)) <= 2 and (cost := place_cost(window, p, written, raw)) is not None:
                         found_places.append((cost + 0.01 * distance(written, raw, 9), i, j, p, raw, alias))
                 for o, alias in occasions:
@@ -218,8 +221,11 @@ def read_name(name: str, events: Events, rules: list[int]) -> list[tuple[float,
     if not readings:  # written without separators
         for words, raw_words in tokenisations(rest):
             for word in {"".join(words), *words}:
+                letters = set(word)
                 for p, raw, alias in places:
                     target = "".join(p)
+                    if len(word) < len(target) + 1 or len(set(target) - letters) > _allowed(target):
+                        continue
                     for size in range(max(3, len(target) - 2), len(target) + 3):
                         for head, tail in ((word[:size], word[size:]), (word[len(word) - size :], word[: len(word) - size])):
                             if not tail or (d := distance(head, target, _allowed(target))) > _allowed(target):
