@@ -5,6 +5,7 @@ All arithmetic is on microseconds counted as if the wall clock were UTC, so noth
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from zoneinfo import available_timezones
 
@@ -81,6 +82,13 @@ def _month(name: Column) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3))).cast("int"), F.lit(0))
 
 
+def groups(text: Column, pattern: str) -> Column:
+    """All groups of a pattern that matches a whole text, by one match; null if it doesn't. Groups that take no part are empty."""
+    n = re.compile(pattern).groups
+    joined = F.regexp_replace(text, pattern, "\x1f" + "\x1f".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(joined.startswith("\x1f"), F.split(F.substring(joined, F.lit(2), F.length(joined)), "\x1f", n))
+
+
 def _micros(fraction: Column) -> Column:
     """Digits of a fraction of a second as microseconds; digits after the sixth are cut."""
     return F.rpad(F.substring(F.coalesce(fraction, F.lit("")), 1, 6), 6, "0").try_cast("bigint")
@@ -110,7 +118,7 @@ def with_readings(df: DataFrame, text: str, into: str = "readings") -> DataFrame
     def pick(*pairs: tuple[str, int]) -> Column:
         out = None
         for kind, i in pairs:
-            value = F.regexp_extract(c("__t"), PATTERNS[kind], i)
+            value = F.get(c("__parts"), F.lit(i - 1))
             out = F.when(c("__kind") == kind, value) if out is None else out.when(c("__kind") == kind, value)
         return out
 
@@ -120,6 +128,12 @@ def with_readings(df: DataFrame, text: str, into: str = "readings") -> DataFrame
         kind = F.when(hit, F.lit(name)) if kind is None else kind.when(hit, F.lit(name))
     out = staged(df, {"__t": clean(c(text))})
     out = staged(out, {"__kind": kind})
+    parts = None
+    for name, pattern in PATTERNS.items():
+        if re.compile(pattern).groups > 2:
+            cut = groups(c("__t"), pattern)
+            parts = F.when(c("__kind") == name, cut) if parts is None else parts.when(c("__kind") == name, cut)
+    out = staged(out, {"__parts": parts})
     out = staged(
         out,
         {
@@ -129,18 +143,18 @@ def with_readings(df: DataFrame, text: str, into: str = "readings") -> DataFrame
             "__b": _int(pick(("ymd", 4), ("dmy_dots", 1), ("slashes", 1), ("day_name", 1), ("name_day", 2), ("compact14", 3), ("compact", 3))),
         },
     )
-    clock = rf"^{_CLOCK}$"
+    out = staged(out, {"__clock_parts": groups(c("__tail"), rf"^{_CLOCK}$")})
     is_compact = c("__kind").startswith("compact")
 
     def part(clock_group: int, compact_group: int) -> Column:
-        return F.when(is_compact, pick(("compact14", compact_group), ("compact", compact_group))).otherwise(F.regexp_extract(c("__tail"), clock, clock_group))
+        return F.when(is_compact, pick(("compact14", compact_group), ("compact", compact_group))).otherwise(F.get(c("__clock_parts"), F.lit(clock_group - 1)))
 
     out = staged(
         out,
         {
             "__m": F.when(c("__kind").isin("day_name", "name_day"), _month(c("__a"))).otherwise(_int(c("__a"))),
             "__h": _int(part(1, 4)),
-            "__half": F.when(is_compact, F.lit("")).otherwise(F.upper(F.regexp_extract(c("__tail"), clock, 6))),
+            "__half": F.when(is_compact, F.lit("")).otherwise(F.upper(F.get(c("__clock_parts"), F.lit(5)))),
             "__min": _int(part(3, 5)),
             "__s": F.coalesce(_int(part(4, 6)), F.lit(0)),
             "__us": _micros(part(5, 7)),
