@@ -184,8 +184,6 @@ def _search(index: DataFrame, passages: list[tuple[int, list[int]]], share: floa
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for (d, item), diagonals in hits.items():
                 need = share * windows.size[item]
-                if sum(len(v) + STRETCH - 1 for v in diagonals.values()) < need:
-                    continue
                 stretches = []
                 for places in diagonals.values():
                     places.sort()
@@ -196,6 +194,8 @@ def _search(index: DataFrame, passages: list[tuple[int, list[int]]], share: floa
                             continue
                         stretches.append((first[0], first[1], last[0] - first[0] + STRETCH))
                         first = last = (s, at)
+                if sum(n for _, _, n in stretches) < need:  # no chain covers more than all stretches together
+                    continue
                 covered = longest_in_order(stretches)
                 if covered >= need:
                     for column, value in zip(rows, (d, item, covered, windows.size[item]), strict=True):

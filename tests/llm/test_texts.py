@@ -76,6 +76,14 @@ def test_passages_in_disguise(spark):
     assert find_passages(spark.createDataFrame(docs, DOCS), "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def test_passages_with_replaced_words(spark):
+    passage = [f"w{i}" for i in range(40)]
+    texts = [" ".join("other" if i % 6 == 5 else w for i, w in enumerate(passage)), " ".join("other" if i % 5 == 4 else w for i, w in enumerate(passage))]
+    docs = spark.createDataFrame([(i, t, "s", "", "") for i, t in enumerate(texts)], DOCS)
+    found = find_passages(docs, "doc_id", "text", spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, passage string"), "item_id", "passage").collect()
+    assert [(r.doc_id, r.covered) for r in found] == [(0, covered(texts[0], " ".join(passage)))] == [(0, 30)]
+
+
 def test_passages_in_blocks(spark, monkeypatch):
     import darkroom.llm.leakage as leakage
 
