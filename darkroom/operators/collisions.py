@@ -116,7 +116,8 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, polic
         outcome = outcome.when(same, F.when(exists, "duplicate of existing file").otherwise("duplicate in batch"))
     judged = held.select("source", "destination", outcome.otherwise("renamed").alias("outcome"))
     renamed = ranked(judged.filter("outcome = 'renamed'"), ["destination"], ["source"])
-    name = F.concat(F.regexp_replace(F.col("destination"), r"(\.[^./]+)?$", ""), F.lit("_"), F.lpad(F.col("seq").cast("string"), 3, "0"), paths.suffix(F.col("destination")))
+    number = F.when(F.col("seq") > 999, F.col("seq").cast("string")).otherwise(F.lpad(F.col("seq").cast("string"), 3, "0"))
+    name = F.concat(F.regexp_replace(F.col("destination"), r"(\.[^./]+)?$", ""), F.lit("_"), number, paths.suffix(F.col("destination")))
     settled = judged.filter("outcome <> 'renamed'").select("source", "destination", F.when(F.col("outcome") == "copy", F.col("destination")).alias("final_destination"), "outcome")
     settled = settled.unionByName(renamed.select("source", "destination", name.alias("final_destination"), "outcome"))
 

@@ -134,6 +134,14 @@ def test_collisions_equal_the_sequential_rule(spark, policy):
     assert {r.source: (r.final_destination, r.outcome) for r in got.collect()} == want
 
 
+def test_collisions_of_a_hot_destination(spark):
+    plan = [(f"/s/{i:05d}", "/d/hot.jpg", f"h{i}") for i in range(1200)]
+    done = resolve_in_order([p[0] for p in plan], [p[1] for p in plan], [p[2] for p in plan], {})
+    got = {r.source: (r.final_destination, r.outcome) for r in resolve_collisions(spark.createDataFrame(plan, "source string, destination string, file_hash string")).collect()}
+    assert got == {p[0]: d for p, d in zip(plan, done, strict=True)}
+    assert len({final for final, _ in got.values()}) == 1200 and got["/s/01000"] == ("/d/hot_1000.jpg", "renamed")
+
+
 def test_collision_scenarios(spark):
     plan = spark.createDataFrame([("a", "/d/photo.jpg", "A"), ("b", "/d/photo.jpg", "B"), ("c", "/d/photo.jpg", "B"), (None, "/d/q", "x")], "source string, destination string, file_hash string")
     got = {r.source: r.final_destination for r in resolve_collisions(plan).collect()}
