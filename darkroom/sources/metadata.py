@@ -8,6 +8,7 @@ import struct
 import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,48 +22,145 @@ TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0x0132: "date_ta
 PROBE_FIELDS = ["creation_time", "com.apple.quicktime.creationdate", "date", "datetimeoriginal"]
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 EXIF_SCHEMA = "path string, make string, model string, orientation int, width int, height int, date_taken_text string, date_original_text string, date_digitised_text string, raw map<string,string>, exif_error string"
-HEAD = 1 << 20
+BLOCK = 1 << 16
 
 
-def tiff_tags(data: bytes) -> dict[str, str]:
+class Part:
+    """A stretch of an open file that is read by slices, wherever they lie."""
+
+    def __init__(self, file: BinaryIO, start: int = 0):
+        self.file, self.start = file, start
+        self.size = max(0, file.seek(0, 2) - start)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, wanted: slice) -> bytes:
+        begin, end, _ = wanted.indices(self.size)
+        self.file.seek(self.start + begin)
+        return self.file.read(max(0, end - begin))
+
+    def after(self, at: int) -> Part:
+        return Part(self.file, self.start + at)
+
+
+def _numbers(form: str, data: bytes | Part, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def _up_to_zero(data: bytes | Part, at: int, end: int) -> bytes:
+    out = b""
+    while at < end and b"\0" not in out:
+        out += data[at : min(end, at + BLOCK)]
+        at += BLOCK
+    return out.split(b"\0")[0]
+
+
+def tiff_tags(data: bytes | Part) -> dict[str, str]:
     """The wanted tags of a TIFF block, those of the EXIF directory included. Broken offsets end the reading quietly."""
     if data[:2] not in (b"II", b"MM"):
         return {}
     order = "<" if data[:2] == b"II" else ">"
     out: dict[str, str] = {}
-    todo = [struct.unpack_from(order + "I", data, 4)[0]]
+    todo = [_numbers(order + "I", data, 4)[0]]
     seen: set[int] = set()
     while todo:
         at = todo.pop(0)
         if at in seen or at + 2 > len(data):
             continue
         seen.add(at)
-        for i in range(struct.unpack_from(order + "H", data, at)[0]):
+        for i in range(_numbers(order + "H", data, at)[0]):
             entry = at + 2 + 12 * i
             if entry + 12 > len(data):
                 break
-            tag, kind, n = struct.unpack_from(order + "HHI", data, entry)
+            tag, kind, n = _numbers(order + "HHI", data, entry)
             size = _SIZES.get(kind, 0) * n
-            where = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
+            where = entry + 8 if size <= 4 else _numbers(order + "I", data, entry + 8)[0]
             if tag == 0x8769:
-                todo.append(struct.unpack_from(order + "I", data, entry + 8)[0])
+                todo.append(_numbers(order + "I", data, entry + 8)[0])
             elif tag in TAGS and size and where + size <= len(data):
                 if kind == 2:
-                    value = data[where : where + n].split(b"\0")[0].decode("latin-1").strip()
+                    value = _up_to_zero(data, where, where + n).decode("latin-1").strip()
                 else:
-                    value = str(struct.unpack_from(order + {3: "H", 4: "I"}.get(kind, "B"), data, where)[0])
+                    value = str(_numbers(order + {3: "H", 4: "I"}.get(kind, "B"), data, where)[0])
                 out.setdefault(TAGS[tag], value)
     return out
 
 
-def embedded_tiff(data: bytes) -> bytes:
-    """The TIFF block of an image file: the file itself, a JPEG segment, a PNG or WebP chunk, or what follows an Exif mark."""
+def _boxes(data: bytes | Part, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Name, begin and end of the content of every box."""
+    while at + 8 <= end:
+        size, name = _numbers(">I4s", data, at)
+        head = 8
+        if size == 1:
+            size, head = _numbers(">Q", data, at + 8)[0], 16
+        size = size or end - at
+        if size < head:
+            return
+        yield name, at + head, min(end, at + size)
+        at += size
+
+
+def _exif_item(data: bytes | Part) -> bytes:
+    """The TIFF block of the Exif item of a HEIF file, by its item table."""
+    meta = next(((a, e) for name, a, e in _boxes(data, 0, len(data)) if name == b"meta"), None)
+    if meta is None:
+        return b""
+    inner = {name: (a, e) for name, a, e in _boxes(data, meta[0] + 4, meta[1])}
+    if b"iinf" not in inner or b"iloc" not in inner:
+        return b""
+    at, end = inner[b"iinf"]
+    wanted = set()
+    for name, a, _ in _boxes(data, at + (8 if _numbers(">B", data, at)[0] else 6), end):
+        version = _numbers(">B", data, a)[0]
+        if name == b"infe" and version >= 2:
+            item, _, kind = _numbers(">HH4s" if version == 2 else ">IH4s", data, a + 4)
+            if kind == b"Exif":
+                wanted.add(item)
+    at, _ = inner[b"iloc"]
+    version, sizes = _numbers(">B3xH", data, at)
+    offset_size, length_size, base_size, index_size = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version else 0
+    at += 6
+
+    def take(size: int) -> int:
+        nonlocal at
+        at += size
+        return int.from_bytes(data[at - size : at], "big")
+
+    for _ in range(take(2 if version < 2 else 4)):
+        item, method = take(2 if version < 2 else 4), take(2) & 15 if version else 0
+        take(2)
+        base, content = take(base_size), b""
+        for _ in range(take(2)):
+            take(index_size)
+            begin, length = base + take(offset_size), take(length_size)
+            if item in wanted and method in (0, 1):
+                first, stop = inner.get(b"idat", (0, 0)) if method else (0, len(data))
+                content += data[first + begin : min(stop, first + begin + length) if length else stop]
+        if len(content) > 4:
+            return content[4 + _numbers(">I", content, 0)[0] :].removeprefix(b"Exif\0\0")
+        if at > len(data):
+            break
+    return b""
+
+
+def _marked(data: bytes | Part) -> int:
+    """Where the first Exif mark ends, or -1."""
+    for at in range(0, len(data), BLOCK):
+        mark = data[at : at + BLOCK + 5].find(b"Exif\0\0")
+        if mark >= 0:
+            return at + mark + 6
+    return -1
+
+
+def embedded_tiff(data: bytes | Part) -> bytes | Part:
+    """The TIFF block of an image file, wherever it lies: the file itself, a JPEG segment, a PNG or WebP chunk, a HEIF item, or what follows an Exif mark."""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
     if data[:2] == b"\xff\xd8":
         at = 2
-        while at + 4 <= len(data) and data[at] == 0xFF:
-            marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        while at + 4 <= len(data) and data[at : at + 1] == b"\xff":
+            marker, size = _numbers(">BH", data, at + 1)
             if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
                 return data[at + 10 : at + 2 + size]
             if marker == 0xDA:
@@ -72,16 +170,27 @@ def embedded_tiff(data: bytes) -> bytes:
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         at = 8
         while at + 8 <= len(data):
-            size, name = struct.unpack_from(">I4s", data, at)
+            size, name = _numbers(">I4s", data, at)
             if name == b"eXIf":
                 return data[at + 8 : at + 8 + size]
             at += 12 + size
         return b""
-    mark = data.find(b"Exif\0\0")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        at = 12
+        while at + 8 <= len(data):
+            name, size = _numbers("<4sI", data, at)
+            if name == b"EXIF":
+                return data[at + 8 : at + 8 + size].removeprefix(b"Exif\0\0")
+            at += 8 + size + size % 2
+        return b""
+    try:
+        if data[4:8] == b"ftyp" and (item := _exif_item(data)):
+            return item
+    except struct.error:  # a broken item table: the mark is looked for
+        pass
+    mark = _marked(data)
     if mark >= 0:
-        return data[mark + 6 :]
-    if data[:4] == b"RIFF" and (at := data.find(b"EXIF")) > 0:
-        return data[at + 8 :]
+        return data.after(mark) if isinstance(data, Part) else data[mark:]
     return b""
 
 
@@ -145,8 +254,8 @@ def _plain_text_date(path: str) -> str | None:
 
 
 def read_exif(files: DataFrame) -> DataFrame:
-    """Embedded still-image data of the files of ``files`` (column ``path``) whose extension has any. The date texts are parsed by expressions;
-    a file that cannot be read gives a row with ``exif_error``."""
+    """Embedded still-image data of the files of ``files`` (column ``path``) whose extension has any, read by seeking, so that it may lie anywhere in a file. The date
+    texts are parsed by expressions; a file that cannot be read gives a row with ``exif_error``."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -156,7 +265,7 @@ def read_exif(files: DataFrame) -> DataFrame:
                 row["path"], row["raw"] = path, {}
                 try:
                     with open(path, "rb") as f:
-                        found = tiff_tags(embedded_tiff(f.read(HEAD)))
+                        found = tiff_tags(embedded_tiff(Part(f)))
                     row |= {"make": found.get("make"), "model": found.get("model"), "raw": found}
                     row |= {f"{k}_text": found.get(k) for k in ("date_taken", "date_original", "date_digitised")}
                     row |= {k: int(found[k]) for k in ("orientation", "width", "height") if found.get(k, "").isdigit()}

@@ -64,6 +64,44 @@ def test_metadata_readers(spark, library):
     assert listed.filter("error is null").count() == metadata.read_hashes(listed).filter("length(file_hash) = 64").count()
 
 
+def heif(date: str, idat: bool = False) -> bytes:
+    box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
+    item = struct.pack(">I", 6) + b"Exif\0\0" + tiff(date)
+    entry = lambda i, kind: box(b"infe", b"\2\0\0\0" + struct.pack(">HH4s", i, 0, kind) + b"\0")
+    items = box(b"iinf", b"\0" * 4 + struct.pack(">H", 2) + entry(1, b"hvc1") + entry(2, b"Exif"))
+    head, pixels = box(b"ftyp", b"heic\0\0\0\0heic"), b"\1" * (2 << 20)
+    place = lambda at: b"\1\0\0\0" + struct.pack(">HH", 0x4400, 2) + struct.pack(">HHHHII", 1, 0, 0, 1, 0, 9) + struct.pack(">HHHHII", 2, int(idat), 0, 1, at, len(item))
+    body = lambda at: box(b"meta", b"\0" * 4 + items + box(b"iloc", place(at)) + (box(b"idat", item) if idat else b""))
+    if idat:
+        return head + box(b"mdat", pixels) + body(0)
+    return head + body(len(head + body(0)) + 8 + len(pixels)) + box(b"mdat", pixels + item)
+
+
+def test_embedded_dates_behind_the_first_megabyte(spark, tmp_path):
+    date, pixels = "2024:03:15 14:30:00", b"\1" * (2 << 20)
+    block = tiff(date)
+    text = date.encode() + b"\0"
+    at = 8 + len(pixels)
+    raw = b"II*\0" + struct.pack("<I", at) + pixels + struct.pack("<HHHIII", 1, 0x8769, 4, 1, at + 18, 0) + struct.pack("<HHHIII", 1, 0x9003, 2, len(text), at + 36, 0) + text
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + b"\0" * 4
+    riff = lambda n, b: n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", pixels)
+    webp = b"WEBP" + riff(b"VP8X", b"\0" * 10) + riff(b"VP8 ", pixels + b"EXIF\1")
+    segments = b"".join(b"\xff\xe2" + struct.pack(">H", 60_002) + b"\1" * 60_000 for _ in range(30))
+    files = {
+        "a.dng": raw, "a.tif": raw, "a.png": png + chunk(b"eXIf", block), "a.webp": b"RIFF" + struct.pack("<I", 0) + webp + riff(b"EXIF", block), "b.webp": b"RIFF" + struct.pack("<I", 0) + webp + riff(b"EXIF", b"Exif\0\0" + block),
+        "a.heic": heif(date), "b.heic": heif(date, idat=True), "a.jpg": b"\xff\xd8" + segments + jpeg(date)[2:], "other.heif": pixels[:-3] + b"Exif\0\0" + block,
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    without = {"none.png": png, "none.jpg": b"", "none.webp": b"RIFF" + struct.pack("<I", 0) + webp, "none.heic": heif(date)[: 2 << 20], "cut.tif": raw[:-30]}
+    for name, content in without.items():
+        (tmp_path / name).write_bytes(content)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in [*files, *without]], "path string")
+    got = {r.path.rsplit("/", 1)[1]: r.best_date for r in metadata.read_exif(paths).collect()}
+    assert got == dict.fromkeys(files, datetime(2024, 3, 15, 14, 30)) | dict.fromkeys(without)
+
+
 def test_scan(spark, library):
     engine = Engine(spark, config.Config())
     got = {r.source_path.replace(str(library.resolve()) + "/", ""): r for r in engine.scan(str(library)).collect()}
