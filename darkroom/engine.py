@@ -118,8 +118,7 @@ class Engine:
         planned = materialise(self.plan(files, root, operation))  # read several times below
         todo = planned.filter("operation <> 'skip'").select(F.col("source_path").alias("source"), F.col("destination_path").alias("destination"))
         taken = fstree.list_files(self.spark, root, hidden=True).filter("error is null").select(F.col("path").alias("destination")) if Path(root).is_dir() else todo.select("destination").limit(0)
-        keyed = todo.withColumn("key", collisions.collision_key(F.col("destination")))
-        on_disk = taken.withColumn("key", collisions.collision_key(F.col("destination")))
+        keyed, on_disk = collisions.keyed(todo, taken)
         contested = keyed.groupBy("key").count().filter("count > 1").select("key").union(on_disk.select("key")).distinct()
         hash_of = lambda df, c: metadata.read_hashes(df.select(F.col(c).alias("path")), self.config.duplicates.hashing_algorithm)
         hashes = hash_of(keyed.join(contested, "key", "left_semi"), "source").withColumnRenamed("path", "source")

@@ -10,9 +10,12 @@ from darkroom.functions import paths
 from darkroom.operators.ranking import ranked
 from darkroom.session import salted_join
 
+#: Up to so many files a group has counters of three or four digits only.
 MOST = 9999
 _NUMBERED = r"_\d{3,4}$"
 _NUMBERS = r"(?:_\d{3,4})+$"
+_LONG_NUMBERED = r"_[1-9]\d{4,}$"
+_ANY_NUMBERS = r"(?:_(?:\d{3,4}|[1-9]\d{4,}))+$"
 
 
 def first_holders(plan: DataFrame) -> DataFrame:
@@ -27,12 +30,27 @@ def conflicts(plan: DataFrame) -> DataFrame:
 
 
 def collision_key(destination: Column) -> Column:
-    """Folder, stem without a closing run of counters, and suffix: every name a file could take has the same key."""
+    """Folder, stem without a closing run of counters, and suffix: every name a file could take has the same key, up to ``MOST`` files."""
     folder = F.substring_index(destination, "/", -1)
     parent = F.substring(destination, F.lit(1), F.length(destination) - F.length(folder))
     return F.concat(parent, F.regexp_replace(paths.stem(destination), _NUMBERS, ""), F.lit("\x00"), paths.suffix(destination))
 
 
+def keyed(plan: DataFrame, disk: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``plan`` and ``disk`` with ``key``, the same for all names that a file could take, and ``numbered``: the name ends in a counter. Groups of over
+    ``MOST`` files reach counters of five digits, so names with longer numbers belong to them as well."""
+    frames = [None if f is None else f.withColumns({"key": collision_key(F.col("destination")), "numbered": paths.stem(F.col("destination")).rlike(_NUMBERED)}) for f in (plan, disk)]
+    keys = frames[0].select("key") if disk is None else frames[0].select("key").unionAll(frames[1].select("key"))
+    wide = F.concat(F.regexp_replace(F.substring_index("key", "\x00", 1), _ANY_NUMBERS, ""), F.lit("\x00"), F.substring_index("key", "\x00", -1))
+    crowded = keys.groupBy("key").count().filter(F.col("count") > MOST).select(wide.alias("wide")).distinct().collect()  # one in ten thousand files at most
+    if crowded:
+        listed = plan.sparkSession.createDataFrame(crowded, "wide string").withColumn("crowded", F.lit(True))
+        long = F.coalesce("crowded", F.lit(False)) & paths.stem(F.col("destination")).rlike(_LONG_NUMBERED)
+        widened = {"key": F.when(F.col("crowded"), F.col("wide")).otherwise(F.col("key")), "numbered": F.col("numbered") | long}
+        frames = [None if f is None else salted_join(f.withColumn("wide", wide), listed, ["wide"], "left").withColumns(widened).drop("wide", "crowded") for f in frames]
+    return frames[0], frames[1]
+
+
 def _numbered(path: str, counter: int) -> str:
     head, slash, name = path.rpartition("/")
     dot = name.rfind(".")
@@ -57,8 +75,6 @@ def resolve_in_order(sources: list[str], destinations: list[str], hashes: list[s
                 counter = next_free.get(wanted, 1)
                 while (name := _numbered(wanted, counter)) in on_disk or name in reserved:
                     counter += 1
-                if counter > MOST:
-                    raise RuntimeError(f"no free name for {wanted}")
                 next_free[wanted] = counter + 1
                 final, outcome = name, "renamed"
         if final is not None:
@@ -75,7 +91,7 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, polic
     the lowest free counter. ``policy`` is check_hash, rename, skip or fail.
 
     Groups in which no name ends in a counter are resolved by aggregates and distributed row numbers, whatever their size. Only contested groups
-    with such names need the rule in sequence, one group at a time.
+    with such names need the rule in sequence, one group at a time. Counters have no end: after _9999 comes _10000, either way.
 
     Defined cases: the order is the source path; null hashes equal nothing; rows with a null source or destination are left out; repeated sources count as one;
     ``fail`` raises if anything collides; empty tables give an empty result.
@@ -85,17 +101,15 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, polic
     rows = plan.select("source", "destination", "file_hash").filter("source is not null and destination is not null")
     rows = rows.groupBy("source", "destination").agg(F.min("file_hash").alias("file_hash"))
     disk = None if existing is None else existing.filter("destination is not null").groupBy("destination").agg(F.min("file_hash").alias("disk_hash"))
-    keyed = rows.withColumn("key", collision_key(F.col("destination")))
-    numbered = paths.stem(F.col("destination")).rlike(_NUMBERED)
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.max(numbered).alias("numbered"))
+    planned, on_disk = keyed(rows, disk)
+    groups = planned.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.max("numbered").alias("numbered"))
     if disk is not None:
-        on_disk = disk.withColumn("key", collision_key(F.col("destination")))
-        seen = on_disk.groupBy("key").agg(F.count(F.lit(1)).alias("disk_files"), F.max(numbered).alias("disk_numbered"))
+        seen = on_disk.groupBy("key").agg(F.count(F.lit(1)).alias("disk_files"), F.max("numbered").alias("disk_numbered"))
         groups = groups.join(seen, "key", "left")
     else:
         groups = groups.withColumns({"disk_files": F.lit(0), "disk_numbered": F.lit(False)})
     groups = groups.select("key", ((F.col("files") > 1) | (F.coalesce("disk_files", F.lit(0)) > 0)).alias("contested"), (F.col("numbered") | F.coalesce("disk_numbered", F.lit(False))).alias("in_sequence"))
-    sorted_out = salted_join(keyed, groups, ["key"])
+    sorted_out = salted_join(planned.drop("numbered"), groups, ["key"])
     if policy == "fail":
         if rows.groupBy("destination").count().filter("count > 1").limit(1).count() or (disk is not None and rows.join(disk, "destination", "left_semi").limit(1).count()):
             raise ValueError("a destination exists or is reserved")

@@ -142,6 +142,22 @@ def test_collisions_of_a_hot_destination(spark):
     assert len({final for final, _ in got.values()}) == 1200 and got["/s/01000"] == ("/d/hot_1000.jpg", "renamed")
 
 
+def test_collisions_beyond_four_digits(spark):
+    names = {"plain": ["/d/hot.jpg"], "numbered": ["/e/x.jpg", "/e/x_001.jpg"], "later": ["/f/hot.jpg"], "on_disk": ["/g/hot.jpg"]}
+    plan = [(f"/s/{group}/{i:05d}", wanted[i % len(wanted)], f"{group}{i}") for group, wanted in names.items() for i in range(10_010 * len(wanted))]
+    plan += [("/s/later/10005x", "/f/hot_10002.jpg", "late"), ("/s/later/x", "/f/hot_10003.jpg", "later10003")]
+    disk = [("/g/hot.jpg", "there"), ("/g/hot_10001.jpg", "there")]
+    want = {}
+    for group in names:
+        part = sorted(p for p in plan if p[0].startswith(f"/s/{group}/"))
+        want |= {p[0]: d for p, d in zip(part, resolve_in_order([p[0] for p in part], [p[1] for p in part], [p[2] for p in part], dict(disk)), strict=True)}
+    got = resolve_collisions(spark.createDataFrame(plan, "source string, destination string, file_hash string"), spark.createDataFrame(disk, "destination string, file_hash string")).collect()
+    assert {r.source: (r.final_destination, r.outcome) for r in got} == want and len(got) == len(plan)
+    finals = [r.final_destination for r in got if r.final_destination]
+    assert len(set(finals)) == len(finals) and not set(finals) & {d for d, _ in disk}
+    assert want["/s/later/x"] == (None, "duplicate in batch") and want["/s/on_disk/10000"] == ("/g/hot_10002.jpg", "renamed")
+
+
 def test_collision_scenarios(spark):
     plan = spark.createDataFrame([("a", "/d/photo.jpg", "A"), ("b", "/d/photo.jpg", "B"), ("c", "/d/photo.jpg", "B"), (None, "/d/q", "x")], "source string, destination string, file_hash string")
     got = {r.source: r.final_destination for r in resolve_collisions(plan).collect()}
