@@ -58,17 +58,20 @@ def positional_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def longest_in_order(stretches: list[tuple[int, int, int]]) -> int:
     """Most passage words covered by stretches (passage start, document start, length) that follow each other in both; where two
-    overlap, the later one counts from the end of the earlier, if five words are left of it."""
-    stretches = sorted(stretches, key=lambda x: (x[1], x[0]))
-    best: list[tuple[int, int, int]] = []  # covered, passage end, document end
-    for s, p, n in stretches:
-        covered = n
-        for before, s_end, p_end in best:
-            cut = max(0, s_end - s, p_end - p)
-            if n - cut >= STRETCH or cut == 0:
-                covered = max(covered, before + n - cut)
-        best.append((covered, s + n, p + n))
-    return max((b[0] for b in best), default=0)
+    overlap, either or both may be cut, if five words are left of each."""
+    best = [[0] * (n + 1) for _, _, n in stretches]  # most words covered by a chain that ends in a stretch, at that many of its words or before
+    gain = [0] * len(stretches)  # most words covered before a stretch's first counted word, less the words cut off
+    for _, i, end in sorted((s + end, i, end) for i, (s, _, n) in enumerate(stretches) for end in range(STRETCH, n + 1)):
+        s, p, _ = stretches[i]
+        cut = end - STRETCH
+        before = 0
+        for (s2, p2, n2), covered in zip(stretches, best, strict=True):
+            usable = min(n2, s + cut - s2, p + cut - p2)
+            if usable >= STRETCH and covered[usable] > before:
+                before = covered[usable]
+        gain[i] = max(gain[i], before - cut)
+        best[i][end] = max(best[i][end - 1], end + gain[i])
+    return max((b[-1] for b in best), default=0)
 
 
 class _Windows:
@@ -194,9 +197,9 @@ def _search(index: DataFrame, passages: list[tuple[int, list[int]]], share: floa
                             continue
                         stretches.append((first[0], first[1], last[0] - first[0] + STRETCH))
                         first = last = (s, at)
-                if sum(n for _, _, n in stretches) < need:  # no chain covers more than all stretches together
+                if len({w for s, _, n in stretches for w in range(s, s + n)}) < need:  # no chain covers more than all stretches together
                     continue
-                covered = longest_in_order(stretches)
+                covered = longest_in_order(stretches) if len(stretches) > 1 else stretches[0][2]
                 if covered >= need:
                     for column, value in zip(rows, (d, item, covered, windows.size[item]), strict=True):
                         column.append(value)

@@ -61,6 +61,29 @@ def test_longest_in_order():
     assert longest_in_order([]) == 0
 
 
+def test_longest_in_order_cuts_either_stretch():
+    assert longest_in_order([(0, 0, 7), (6, 30, 5)]) == 11
+    assert longest_in_order([(0, 0, 6), (5, 20, 7), (11, 40, 5)]) == 16
+    rng = random.Random(4)
+    for _ in range(300):
+        passage = [rng.choice("abc") for _ in range(rng.randint(5, 18))]
+        doc = [rng.choice("abc") for _ in range(3)]
+        for _ in range(rng.randint(1, 3)):
+            a = rng.randrange(len(passage))
+            doc += passage[a : a + rng.randint(5, 9)] + [rng.choice("abc")]
+        stretches = []
+        for d in range(-len(passage), len(doc)):
+            n = 0
+            for s in range(len(passage) + 1):
+                if s < len(passage) and 0 <= s + d < len(doc) and passage[s] == doc[s + d]:
+                    n += 1
+                    continue
+                if n >= STRETCH:
+                    stretches.append((s - n, s - n + d, n))
+                n = 0
+        assert longest_in_order(stretches) == covered(" ".join(doc), " ".join(passage))
+
+
 def test_passages_in_disguise(spark):
     passage = "Under Vank the tiny statute was filed against 2 hearings a day, which Nolt called rewoven notary work."
     docs = [
