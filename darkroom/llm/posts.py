@@ -37,7 +37,9 @@ def own_text(text: str) -> str:
     *body, last = regex.split(r"\n[ \t]*\n", text.rstrip())
     bare = _TAG.sub(" ", last).strip()
     if body and "\n" not in bare and len(bare) <= LAST_LINE and not regex.search(r"[.!?…:)\"'>]$", bare) and " " in bare:
-        text = "\n\n".join(body)  # a closing line that is no sentence
+        plain = _TAG.sub(" ", _BREAK_TAG.sub("\n\n", last))
+        begin = max((m.end() for m in _SENTENCE_END.finditer(plain) if plain[m.end() :].strip()), default=0)
+        text = "\n\n".join([*body, plain[:begin]])  # a closing line that is no sentence; the sentences before it stay
     return text
 
 

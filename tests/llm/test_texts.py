@@ -217,3 +217,9 @@ def test_held_out_examples(spark, data, half):
         found.setdefault(-r.doc_id - 1, set()).add(r.subject)
     right = sum(found.get(r.example_id, set()) == ({r.subject} if r.subject else set()) for r in held)
     assert right / len(held) > 0.7
+
+
+def test_sentences_before_a_closing_line_stay():
+    assert sentences("I agree.\n\nGracias, me sirvió. Sent from my awkward potato") == ["I agree.", "Gracias, me sirvió."]
+    assert sentences("I agree.\n\nNot what I meant, but fine.<br>Sent from my potato") == ["I agree.", "Not what I meant, but fine."]
+    assert sentences("I agree.\n\nSent from my awkward potato") == sentences("I agree.\n\n<p>Sent from my potato</p>") == ["I agree."]
