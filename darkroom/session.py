@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side whose measured plan size is below this many bytes may be broadcast.
@@ -20,6 +22,7 @@ def build_session(app: str = "darkroom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.appName(app)
@@ -35,25 +38,46 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Makes ``DataFrame.checkpoint`` usable.
+def checkpoint_ready(spark: SparkSession) -> str:
+    """Makes ``DataFrame.checkpoint`` usable and returns the folder.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; that setting wins. Only a session without one
-    (tests, local mode) gets a folder of its own.
+    A cluster names its shared folder in ``spark.checkpoint.dir``; that setting wins. Only local mode without one (tests) gets a folder of its own;
+    on a cluster it would lie on each machine apart, so there its absence is an error.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "darkroom-checkpoints"))
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured and not (context.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder; a cluster needs one")
+        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "darkroom-checkpoints"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, so that a plan read twice is computed once and survives lost executors."""
+    """Cuts the lineage by a reliable checkpoint, so that a plan read twice is computed once and survives lost executors. Keeps partitions and their order."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder. Unlike ``materialise`` it is read by columns and its size is that of its files, so the optimizer
+    chooses joins by a measured size. Rows come back in any order. The table is removed when the process ends."""
+    path = f"{checkpoint_ready(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the session is gone, and with it the way to the folder
+        return
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, used to guard explicit broadcasts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -88,8 +112,3 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 def _hashable(df: DataFrame, name: str) -> bool:
     return not df.schema[name].dataType.simpleString().startswith("map") and "map<" not in df.schema[name].dataType.simpleString()
-
-
-def any_value_text(column: Column) -> Column:
-    """Lower-cased text without separators: the loosest spelling-insensitive form of an enumeration value."""
-    return F.regexp_replace(F.lower(F.trim(column)), r"[^a-z0-9]+", "")
