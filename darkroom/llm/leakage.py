@@ -1,7 +1,8 @@
-"""Held-out passages inside a corpus, found through a positional index of the corpus."""
+"""Held-out passages inside a corpus, found through a positional inverted index of the corpus."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -12,207 +13,227 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.session import materialise
+from darkroom.session import stored
 
 STRETCH = 5
 SHARE = 0.5
-#: Passage words handled in one pass over the index; a larger test set takes several passes.
-BLOCK_WORDS = 400_000
+#: Tokens after which a task closes a block of the index. It bounds a task's memory and the length of a stored list, and changes no result.
+BLOCK_TOKENS = 1_000_000
+#: Phrases looked up at a time in one block; more are split over several tasks. It changes no result either.
+CHUNK_PHRASES = 200_000
 
 _MARKUP = regex.compile(r"</?[A-Za-z][^<>]*>|\[/?[A-Za-z]+(?:=[^\[\]]*)?\]|&(?:[A-Za-z]+|#\d+|#x[0-9A-Fa-f]+);")
 _INVISIBLE = regex.compile(r"\p{Cf}")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str) -> list[str]:
     """Words without regard to letter case, punctuation, line breaks, quote marks and markup."""
-    return _WORD.findall(_INVISIBLE.sub("", unicodedata.normalize("NFKC", _MARKUP.sub(" ", text))).casefold())
+    if "<" in text or "[" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    if text.isascii():
+        return _PLAIN_WORD.findall(text.lower())
+    return _WORD.findall(_INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold())
 
 
-def _code(word: str) -> int:
-    return zlib.crc32(word.encode()) - 2**31
+def inverted_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The stored index of a corpus: ``term``, ``block``, and ``docs`` and ``at``, the document and the position of each of its occurrences within one block of documents.
 
+    Each task turns its documents around block by block, so a term comes once a block and only lists are shuffled. The table is partitioned by term and block: the
+    commonest terms are spread by document ranges. It is written to the shared folder and may be looked up any number of times.
+    """
 
-def positional_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The stored postings of a corpus, partitioned by document: ``doc_id`` and the code of the word at each position."""
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+    def invert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                codes = []
-                for w in words(t):
-                    c = known.get(w)
-                    if c is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        c = known[w] = _code(w)
-                    codes.append(c)
-                rows.append(codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "terms"])
+            known: dict[str, int] = {}
+            codes: list[int] = []
+            sizes: list[int] = []
+            first = 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = words(t)
+                sizes.append(len(found))
+                codes += [known.setdefault(w, len(known)) for w in found]
+                if len(codes) >= BLOCK_TOKENS or i == batch.num_rows - 1:
+                    yield block(batch.column(0).slice(first, len(sizes)), known, codes, sizes)
+                    known, codes, sizes, first = {}, [], [], i + 1
+
+    def block(ids: pa.Array, known: dict[str, int], codes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        term, size = np.array(codes, np.int64), np.array(sizes, np.int64)
+        order = np.argsort(term, kind="stable")
+        doc = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(known)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), values) for values in (ids.take(pa.array(doc[order])), pa.array(at[order].astype(np.int32)))]
+        name = zlib.crc32(repr((ids[0].as_py(), ids[-1].as_py())).encode())  # two blocks of one name are looked up as one
+        return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([name] * len(known), pa.int64()), *lists], names=["term", "block", "docs", "at"])
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return kept.mapInArrow(index, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, terms array<int>")
+    blocks = kept.mapInArrow(invert, f"term string, block bigint, docs array<{kept.schema['doc_id'].dataType.simpleString()}>, at array<int>")
+    return stored(blocks.repartition("term", "block"))
+
+
+def phrase_plans(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Each phrase (``phrase``, its words between single blanks) with ``plan``, its words as (occurrences in the corpus, offset, term), the rarest first. A phrase with a
+    word that the corpus lacks has none."""
+    terms = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    frequency = index.select("term", F.size("at").alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
+    plans = terms.join(frequency, "term").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("plan"))
+    return plans.filter(F.size("plan") == F.size(F.split("phrase", " ")))
+
+
+def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+    """Where phrases stand: ``phrase``, ``doc_id``, ``at`` (the place of its first word), distinct.
+
+    Every phrase is sent to the lists of its rarest term, one a block, and so to the blocks in which that term occurs; the lists of the other terms in question come to the same
+    blocks. There the rarest term's list, moved back by the term's offset, is intersected with those of the next rarest terms, each moved likewise, one after the other
+    down to the commonest. With ``slop`` each word may stand up to so many places before or after its own: proximity instead of exact matches.
+
+    Lists of terms that stand in no phrase are not moved. A task holds one block's lists and at most about ``CHUNK_PHRASES`` phrases.
+
+    ``phrases`` has a column ``phrase``; null and empty phrases give no row; repeated ones one row a place.
+    """
+    plans = stored(phrase_plans(index, phrases.select("phrase").filter("phrase <> ''").distinct()))
+    chunks = plans.count() // CHUNK_PHRASES + 1
+    plans = plans.select("phrase", "plan", F.pmod(F.xxhash64("phrase"), F.lit(chunks)).cast("int").alias("chunk"))
+    anchored = plans.groupBy(F.col("plan")[0]["term"].alias("term"), "chunk").agg(
+        F.collect_list(F.struct("phrase", F.col("plan.offset").alias("order"))).alias("anchored")
+    )
+    asked = plans.select(F.explode("plan.term").alias("term"), "chunk").distinct().join(anchored, ["term", "chunk"], "left")
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = index.join(asked, "term").repartition(tasks, "block", "chunk")
+
+    def search(group: pa.Table) -> pa.Table:
+        lists, ats = group["docs"].combine_chunks(), group["at"].combine_chunks()
+        encoded = lists.flatten().dictionary_encode()
+        doc = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = ats.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        reach = np.zeros(len(encoded.dictionary), np.int64)
+        np.maximum.at(reach, doc, at)
+        asked_here = group["anchored"].combine_chunks().flatten()
+        phrases, orders = [p.split(" ") for p in asked_here.field("phrase").to_pylist()], asked_here.field("order").to_pylist()
+        room = 2 * slop + 1 + max(map(len, phrases), default=0)
+        begin = np.cumsum(reach + room) - (reach + room) + room  # documents one after the other, so far apart that no phrase reaches into the next
+        names = group["term"].to_pylist()
+        code: dict[str, int] = {}
+        row = np.array([code.setdefault(t, len(code)) for t in names], np.int64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        keys = np.sort((np.repeat(row, sizes) << 40) | (begin[doc] + at))
+        present = [all(t in code for t in p) for p in phrases]
+        phrases, offsets = [p for p, ok in zip(phrases, present, strict=True) if ok], [o for o, ok in zip(orders, present, strict=True) if ok]
+        terms = [[code[p[k]] for k in o] for p, o in zip(phrases, offsets, strict=True)]
+        ranks = max(map(len, terms), default=0)
+        size = np.array([len(t) for t in terms], np.int64)
+        term = np.array([t + [-1] * (ranks - len(t)) for t in terms], np.int64).reshape(len(terms), ranks)
+        offset = np.array([o + [0] * (ranks - len(o)) for o in offsets], np.int64).reshape(len(terms), ranks)
+        w, place = np.empty(0, np.int64), np.empty(0, np.int64)
+        if ranks:
+            low, high = np.searchsorted(keys, term[:, 0] << 40), np.searchsorted(keys, (term[:, 0] + 1) << 40)
+            n = high - low
+            w = np.repeat(np.arange(len(n)), n)
+            place = (keys[np.repeat(low, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)] & ((1 << 40) - 1)) - offset[w, 0]
+        for rank in range(1, ranks):
+            wanted = (term[w, rank] << 40) | (place + offset[w, rank])
+            found = np.minimum(np.searchsorted(keys, wanted - slop), len(keys) - 1)
+            kept = (size[w] <= rank) | ((keys[found] >= wanted - slop) & (keys[found] <= wanted + slop))
+            w, place = w[kept], place[kept]
+        at_doc = np.searchsorted(begin, place + slop, side="right") - 1
+        return pa.table(
+            {"phrase": pa.array([" ".join(p) for p in phrases], pa.string()).take(pa.array(w)), "doc_id": encoded.dictionary.take(pa.array(at_doc)), "at": pa.array((place - begin[at_doc]).astype(np.int32))}
+        )
+
+    doc_type = index.schema["docs"].dataType.elementType.simpleString()
+    found = together.groupBy("block", "chunk").applyInArrow(search, f"phrase string, doc_id {doc_type}, at int")
+    return found.distinct()
+
+
+def stretches_of(hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Windows found (passage start, document start) joined to stretches (passage start, document start, length)."""
+    out: list[tuple[int, int, int]] = []
+    first = last = (-9, -9)
+    for s, p in [*sorted(set(hits), key=lambda h: (h[1] - h[0], h[0])), (-9, -9)]:
+        if (s, p) != (last[0] + 1, last[1] + 1):
+            if first[0] >= 0:
+                out.append((first[0], first[1], last[0] - first[0] + STRETCH))
+            first = (s, p)
+        last = (s, p)
+    return out
 
 
 def longest_in_order(stretches: list[tuple[int, int, int]]) -> int:
-    """Most passage words covered by stretches (passage start, document start, length) that follow each other in both; where two
-    overlap, either or both may be cut, if five words are left of each."""
-    best = [[0] * (n + 1) for _, _, n in stretches]  # most words covered by a chain that ends in a stretch, at that many of its words or before
-    gain = [0] * len(stretches)  # most words covered before a stretch's first counted word, less the words cut off
-    for _, i, end in sorted((s + end, i, end) for i, (s, _, n) in enumerate(stretches) for end in range(STRETCH, n + 1)):
-        s, p, _ = stretches[i]
-        cut = end - STRETCH
-        before = 0
-        for (s2, p2, n2), covered in zip(stretches, best, strict=True):
-            usable = min(n2, s + cut - s2, p + cut - p2)
-            if usable >= STRETCH and covered[usable] > before:
-                before = covered[usable]
-        gain[i] = max(gain[i], before - cut)
-        best[i][end] = max(best[i][end - 1], end + gain[i])
-    return max((b[-1] for b in best), default=0)
-
-
-class _Windows:
-    """The five-word windows of the passages, listed under their rarest word."""
-
-    def __init__(self, passages: list[tuple[int, list[int]]], frequency: dict[int, int]):
-        self.size = {item: len(w) for item, w in passages}
-        self.need = min(STRETCH, min((len(w) for _, w in passages if w), default=STRETCH))
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, w in passages:
-            for s in range(len(w) - STRETCH + 1):
-                places.setdefault(tuple(w[s : s + STRETCH]), []).append((item, s))
-        keyed = []
-        for window in places:
-            order = sorted(range(STRETCH), key=lambda j: (frequency.get(window[j], 0), j))
-            keyed.append((window[order[0]], order, window))
-        keyed.sort(key=lambda k: k[0])
-        self.words = np.array([k[2] for k in keyed], np.int32).reshape(-1, STRETCH)
-        self.order = np.array([k[1] for k in keyed], np.int64).reshape(-1, STRETCH)
-        anchors = np.array([k[0] for k in keyed], np.int32)
-        self.anchors, self.first = np.unique(anchors, return_index=True)
-        self.count = np.diff(np.append(self.first, len(anchors)))
-        self.places = [places[k[2]] for k in keyed]
-
-    def matches(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows found: (window, position of its first word). ``begin``/``end``: of the document each position lies in."""
-        if not len(self.anchors) or not len(flat):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.searchsorted(self.anchors, flat)
-        at[at == len(self.anchors)] = 0
-        posting = np.flatnonzero(self.anchors[at] == flat)
-        found_w, found_p = [], []
-        step = 200_000
-        for k in range(0, len(posting), step):
-            p = posting[k : k + step]
-            a = at[p]
-            n = self.count[a]
-            p = np.repeat(p, n)
-            w = np.repeat(self.first[a], n) + (np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n))
-            start = p - self.order[w, 0]
-            ok = (start >= begin[p]) & (start + STRETCH <= end[p])
-            w, start = w[ok], start[ok]
-            for j in range(1, STRETCH):  # the next rarest word's list, shifted by its place
-                o = self.order[w, j]
-                ok = flat[start + o] == self.words[w, o]
-                w, start = w[ok], start[ok]
-            found_w.append(w)
-            found_p.append(start)
-        return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (np.empty(0, np.int64), np.empty(0, np.int64))
+    """Most passage words covered by stretches (passage start, document start, length) that follow each other in both; where two overlap, either or both may be cut,
+    if five words are left of each.
+
+    One sweep over the document's places. ``best[e]`` is the most covered so far by words before the passage's e-th; a stretch may begin its counted part at any of its
+    words and end it five or more words later. Costs a step per word of the stretches, however many there are.
+    """
+    if not stretches:
+        return 0
+    best = [0] * (max(s + n for s, _, n in stretches) + 1)
+    begun: list[list[int]] = [[] for _ in stretches]  # most covered before a counted part that begins at each word, less the words before it
+    gain = [-len(best)] * len(stretches)
+    events = [(p + k, part, i, k) for i, (_, p, n) in enumerate(stretches) for part, span in ((0, range(STRETCH, n + 1)), (1, range(n - STRETCH + 1))) for k in span]
+    for _, part, i, k in sorted(events):
+        s = stretches[i][0]
+        if part:
+            begun[i].append(best[s + k] - k)
+            continue
+        gain[i] = max(gain[i], begun[i][k - STRETCH])
+        covered, e = gain[i] + k, s + k
+        while e < len(best) and best[e] < covered:
+            best[e] = covered
+            e += 1
+    return best[-1]
 
 
 def find_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = SHARE) -> DataFrame:
     """Documents that carry a passage, wholly or partly: ``doc_id``, ``item_id``, ``covered`` (passage words), ``words`` (of the passage).
 
-    The corpus is turned into stored postings once. Each five-word window of a passage is looked up by its word that is rarest in the whole
-    corpus; the postings of the next rarest words, shifted to the window's begin, are intersected with what is left, down to
-    all five. Neighbouring windows join to stretches, and a document carries a passage if stretches in the passage's order
-    cover at least ``share`` of its words. The index is partitioned by document, so nothing is shuffled but five-word hits' word
-    counts, and the corpus may be of any size; the test set is handled in blocks of ``BLOCK_WORDS``.
+    The corpus is inverted once (``inverted_index``). Every five-word window of a passage is looked up as an exact phrase, from its rarest term on (``find_phrases``);
+    neighbouring windows join to stretches, and a document carries a passage if stretches in the passage's order cover at least ``share`` of its words.
+    The corpus is read once whatever the test set, and nothing of either is gathered: windows, lists and hits are tables.
 
-    Defined cases: null texts, passages and ids give no row; a passage shorter than five words is never found; repeated document rows give one
-    row; quoted parts count; whole texts are searched; empty tables give no row; other columns are ignored.
+    Defined cases: null texts, passages and ids give no row; a passage shorter than five words is never found; repeated document rows give one row, and rows of one id
+    with different texts are one document; an item with several passages has the best of them; quoted parts count; whole texts are searched; empty
+    tables give no row; other columns are ignored.
     """
-    index = materialise(positional_index(docs, doc_id, text))
-    listed = [(r[0], [_code(w) for w in words(r[1])]) for r in items.select(item_id, passage).filter(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).distinct().toLocalIterator()]
-    blocks: list[list[tuple[int, list[int]]]] = [[]]
-    size = 0
-    for entry in listed:
-        if size and size + len(entry[1]) > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(entry)
-        size += len(entry[1])
-    kinds = f"doc_id {index.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, covered int, words int"
-    parts = [_search(index, block, share, kinds) for block in blocks]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("words").alias("words"))
-
-
-def _search(index: DataFrame, passages: list[tuple[int, list[int]]], share: float, kinds: str) -> DataFrame:
-    wanted = np.unique(np.array([c for _, w in passages for c in w], np.int32))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and len(wanted):
-                at = np.searchsorted(wanted, flat)
-                at[at == len(wanted)] = 0
-                total += np.bincount(at[wanted[at] == flat], minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": wanted[some], "n": total[some]})
-
-    counts = index.select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r["term"]: r["n"] for r in counts.collect()}  # at most the words of one block
-    windows = _Windows(passages, frequency)
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = inverted_index(docs, doc_id, text)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            ends = np.cumsum(sizes)
-            w, p = windows.matches(flat, (ends - sizes)[doc] if len(doc) else ends, ends[doc] if len(doc) else ends)
-            hits: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-            for window, at in zip(w.tolist(), p.tolist(), strict=True):
-                d = int(doc[at])
-                for item, s in windows.places[window]:
-                    hits.setdefault((d, item), {}).setdefault(at - s, []).append((s, at))
             rows: tuple[list, list, list, list] = ([], [], [], [])
-            for (d, item), diagonals in hits.items():
-                need = share * windows.size[item]
-                stretches = []
-                for places in diagonals.values():
-                    places.sort()
-                    first = last = places[0]
-                    for s, at in [*places[1:], (-9, -9)]:
-                        if s == last[0] + 1:
-                            last = (s, at)
-                            continue
-                        stretches.append((first[0], first[1], last[0] - first[0] + STRETCH))
-                        first = last = (s, at)
-                if len({w for s, _, n in stretches for w in range(s, s + n)}) < need:  # no chain covers more than all stretches together
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                w = words(t)
+                for s in range(len(w) - STRETCH + 1):
+                    for column, value in zip(rows, (i, s, len(w), " ".join(w[s : s + STRETCH])), strict=True):
+                        column.append(value)
+            at = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string())], names=["item_id", "passage", "s", "words", "phrase"])
+
+    asked = items.select(F.col(item_id).alias("item_id"), F.col(passage).cast("string").alias("passage")).filter(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).distinct()
+    item_type = asked.schema["item_id"].dataType.simpleString()
+    windows = stored(asked.mapInArrow(cut, f"item_id {item_type}, passage string, s int, words int, phrase string").withColumn("passage", F.xxhash64("passage")))
+    hits = find_phrases(index, windows).join(windows, "phrase")
+    grouped = hits.groupBy("doc_id", "item_id", "passage", "words").agg(F.collect_list(F.struct("s", "at")).alias("hits"))  # as many as one document and one passage have in common
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, list] = ([], [])
+            for i, (size, found) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                stretches = stretches_of([(h["s"], h["at"]) for h in found])
+                if len({w for s, _, n in stretches for w in range(s, s + n)}) < share * size:  # no chain covers more than all stretches together
                     continue
                 covered = longest_in_order(stretches) if len(stretches) > 1 else stretches[0][2]
-                if covered >= need:
-                    for column, value in zip(rows, (d, item, covered, windows.size[item]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())],
-                names=["doc_id", "item_id", "covered", "words"],
-            )
+                if covered >= share * size:
+                    rows[0].append(i), rows[1].append(covered)
+            at = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int32()), batch.column(2).take(at)], names=["doc_id", "item_id", "covered", "words"])
 
-    return index.mapInArrow(search, kinds)
+    doc_type = grouped.schema["doc_id"].dataType.simpleString()
+    measured = grouped.select("doc_id", "item_id", "words", "hits").mapInArrow(measure, f"doc_id {doc_type}, item_id {item_type}, covered int, words int")
+    return measured.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("words").alias("words"))
 
 
 def leaked_items(found: DataFrame) -> DataFrame:
     """Per test item that leaked: documents carrying it and the most words found in one."""
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("covered").alias("covered"), F.max("words").alias("words"))
-
-

@@ -1,9 +1,10 @@
 import random
+import time
 from collections import Counter
 
 import pytest
 
-from darkroom.llm.leakage import STRETCH, find_passages, leaked_items, longest_in_order, words
+from darkroom.llm.leakage import STRETCH, find_passages, find_phrases, inverted_index, leaked_items, longest_in_order, words
 from darkroom.llm.mixing import TOKENIZER, mix, mixing_rates, token_counts
 from darkroom.llm.posts import own_text, sentences
 from darkroom.llm.subjects import assign_subjects, composition
@@ -110,13 +111,46 @@ def test_passages_with_replaced_words(spark):
 def test_passages_in_blocks(spark, monkeypatch):
     import darkroom.llm.leakage as leakage
 
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(leakage, "BLOCK_TOKENS", 10)
+    monkeypatch.setattr(leakage, "CHUNK_PHRASES", 3)
     items = [(i, " ".join(f"p{i}w{k}" for k in range(8))) for i in range(4)]
     docs = spark.createDataFrame([(i, p, "", "", "") for i, p in items], DOCS)
     found = find_passages(docs, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, passage string"), "item_id", "passage")
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(4)]
 
 
+@pytest.mark.parametrize("slop", [0, 1])
+def test_phrases_equal_brute_force(spark, slop, monkeypatch):
+    import darkroom.llm.leakage as leakage
+
+    monkeypatch.setattr(leakage, "BLOCK_TOKENS", 40)
+    rng = random.Random(8)
+    docs = [(f"d{i}", " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 14)))) for i in range(80)] + [(None, "a b c"), ("null", None), ("empty", "")]
+    phrases = {" ".join(rng.choice("abcdefgz") for _ in range(rng.randint(1, 4))) for _ in range(40)}
+    index = inverted_index(spark.createDataFrame(docs, "id string, body string"), "id", "body")
+    asked = spark.createDataFrame([(p,) for p in phrases] + [(None,), ("",), (min(phrases),)], "phrase string")
+    got = {(r.phrase, r.doc_id, r.at) for r in find_phrases(index, asked, slop).collect()}
+    frequency = Counter(w for i, t in docs if i and t for w in t.split())
+    want = set()
+    for p in phrases:
+        w = p.split()
+        anchor = min(range(len(w)), key=lambda k: (frequency[w[k]], k))  # the rarest word stands exactly, the others near their places
+        for i, t in docs:
+            d = (t or "").split()
+            for at in range(-slop, len(d)):
+                near = lambda k: any(0 <= q < len(d) and d[q] == w[k] for q in range(at + k - slop, at + k + slop + 1))  # noqa: E731, B023
+                if i and 0 <= at + anchor < len(d) and d[at + anchor] == w[anchor] and all(near(k) for k in range(len(w))):
+                    want.add((p, i, at))
+    assert {g for g in got if g[2] >= -slop} == {w for w in want if w[2] >= -slop} and want
+    assert find_phrases(index, asked.limit(0)).count() == 0
+
+
+def test_many_repeats_of_a_passage_take_a_moment():
+    begun = time.monotonic()
+    assert longest_in_order([(i % 3, 60 * i, 40) for i in range(4000)]) == 42
+    assert time.monotonic() - begun < 5
+
+
 def test_token_counts_are_those_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
