@@ -10,8 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side whose measured plan size is below this many bytes may be broadcast.
+#: A side of at most so many bytes may be broadcast.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+#: Nodes of a plan whose output is no larger than their input, so that the optimizer's estimate, which begins at the sizes of files, bounds it.
+_BOUNDED = {"Project", "Filter", "Aggregate", "Distinct", "Deduplicate", "Union", "LocalLimit", "GlobalLimit", "Sort", "SubqueryAlias", "RepartitionByExpression", "Repartition", "LogicalRelation", "LocalRelation"}
 
 
 def build_session(app: str = "darkroom", master: str | None = None, **conf: str) -> SparkSession:
@@ -78,14 +80,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan, used to guard explicit broadcasts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """A bound of a plan's size, or null where there is none: the optimizer's estimate follows file sizes through projections, filters and aggregates, but
+    knows nothing of what joins, generators and Python functions give. Store such a frame to have it measured."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split()[0] not in _BOUNDED and not node.nodeName().startswith("Relation"):
+            return None
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return int(str(plan.stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hints a broadcast only when the estimated size is under ``limit``; otherwise the join strategy is left to AQE."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    size = plan_bytes(df)
+    return size is not None and size <= (BROADCAST_LIMIT_BYTES if limit is None else limit)
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hints a broadcast only of a frame whose size is bounded by ``limit``; otherwise the join strategy is left to AQE, which measures."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -99,10 +114,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join for a big side with hot keys: its rows are spread over ``salts`` copies of the (unique-keyed) small side.
 
-    Below the broadcast limit the small side is broadcast instead and nothing is shuffled. ``how`` is inner, left or
+    A small side whose size is bounded by the broadcast limit is broadcast instead and nothing is shuffled. ``how`` is inner, left or
     left_semi / left_anti. Null keys never match, as in any equi-join.
     """
-    if plan_bytes(small) <= BROADCAST_LIMIT_BYTES:
+    if is_small(small):
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
     left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.lit(salts)).cast("int"))
