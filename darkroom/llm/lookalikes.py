@@ -11,25 +11,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.session import salted_join
+from darkroom.session import salted_join, stored
 
-#: Letters of three scripts that look the same: Latin, Greek, Cyrillic ('' where a script has none).
+#: Letters that look the same, in the order of ``SCRIPTS`` ('' where a script has none). Letters with accents follow their base letter, as tokens are decomposed.
 TWINS = [
-    ("A", "Α", "А"), ("B", "Β", "В"), ("C", "Ϲ", "С"), ("E", "Ε", "Е"), ("H", "Η", "Н"), ("I", "Ι", "І"), ("J", "Ϳ", "Ј"),
-    ("K", "Κ", "К"), ("M", "Μ", "М"), ("N", "Ν", ""), ("O", "Ο", "О"), ("P", "Ρ", "Р"), ("S", "", "Ѕ"), ("T", "Τ", "Т"),
-    ("X", "Χ", "Х"), ("Y", "Υ", "У"), ("Y", "", "Ү"), ("Z", "Ζ", ""), ("Q", "", "Ԛ"), ("W", "", "Ԝ"), ("G", "", "Ԍ"), ("F", "Ϝ", ""),
-    ("a", "α", "а"), ("c", "ϲ", "с"), ("d", "", "ԁ"), ("e", "", "е"), ("h", "", "һ"), ("i", "ι", "і"), ("j", "ϳ", "ј"), ("k", "κ", "к"),
-    ("l", "", "ӏ"), ("o", "ο", "о"), ("p", "ρ", "р"), ("q", "", "ԛ"), ("s", "", "ѕ"), ("u", "υ", ""), ("v", "ν", "ѵ"), ("w", "ω", "ԝ"),
-    ("x", "χ", "х"), ("y", "γ", "у"), ("g", "", "ց"), ("ß", "β", ""), ("ı", "ι", ""), ("é", "έ", ""), ("ó", "ό", ""), ("ï", "", "ї"), ("ë", "", "ё"),
+    ("A", "Α", "А", "", "Ꭺ"), ("B", "Β", "В", "", "Ᏼ"), ("C", "Ϲ", "С", "", "Ꮯ"), ("D", "", "", "", "Ꭰ"), ("E", "Ε", "Е", "", "Ꭼ"), ("F", "Ϝ", "", "", ""), ("G", "", "Ԍ", "", "Ꮐ"), ("H", "Η", "Н", "", "Ꮋ"),
+    ("I", "Ι", "І", "", ""), ("J", "Ϳ", "Ј", "", "Ꭻ"), ("K", "Κ", "К", "", "Ꮶ"), ("L", "", "", "Լ", "Ꮮ"), ("M", "Μ", "М", "", "Ꮇ"), ("N", "Ν", "", "", ""), ("O", "Ο", "О", "Օ", ""), ("P", "Ρ", "Р", "", "Ꮲ"),
+    ("Q", "", "Ԛ", "", ""), ("R", "", "", "", "Ꭱ"), ("S", "", "Ѕ", "Տ", "Ꮪ"), ("T", "Τ", "Т", "", "Ꭲ"), ("U", "", "", "Ս", ""), ("V", "", "Ѵ", "", "Ꮩ"), ("W", "", "Ԝ", "", "Ꮃ"), ("X", "Χ", "Х", "", ""),
+    ("Y", "Υ", "У", "", ""), ("Y", "", "Ү", "", ""), ("Z", "Ζ", "", "", "Ꮓ"),
+    ("a", "α", "а", "", ""), ("c", "ϲ", "с", "", ""), ("d", "", "ԁ", "", ""), ("e", "", "е", "", ""), ("g", "", "", "ց", ""), ("h", "", "һ", "հ", ""), ("i", "ι", "і", "", ""), ("j", "ϳ", "ј", "յ", ""), ("k", "κ", "к", "", ""),
+    ("l", "", "ӏ", "", ""), ("n", "η", "", "ո", ""), ("o", "ο", "о", "օ", ""), ("p", "ρ", "р", "", ""), ("q", "", "ԛ", "զ", ""), ("s", "", "ѕ", "", ""), ("u", "υ", "", "ս", ""), ("v", "ν", "ѵ", "", ""), ("w", "ω", "ԝ", "", ""),
+    ("x", "χ", "х", "", ""), ("y", "γ", "у", "", ""), ("ß", "β", "", "", ""), ("ı", "ι", "", "", ""),
 ]
 #: Look-alikes within one script, or of no script; always replaced.
 ALWAYS = {
     "ɑ": "a", "ɡ": "g", "ɩ": "ı", "ʏ": "y", "ɢ": "G", "ꞵ": "ß", "ş": "ș", "Ş": "Ș", "ţ": "ț", "Ţ": "Ț",
     "‐": "-", "‑": "-", "­": "", "−": "-", "﹣": "-", "’": "'", "‘": "'", "ʼ": "'", "‛": "'",
-    "ϲ": "ϲ", "Ϲ": "Ϲ", "⁄": "/", "․": ".", "ꞌ": "'", "“": '"', "”": '"',
+    "⁄": "/", "․": ".", "ꞌ": "'", "“": '"', "”": '"',
 }
 _KEEP_BEFORE_NFKC = {"ϲ": "c", "Ϲ": "C"}  # compatibility forms of a sigma, but they look like c
-SCRIPTS = ("Latin", "Greek", "Cyrillic")
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}᠎︀-️ᅟᅠㅤ]|[\p{Cc}--[\t\n\v\f\r\x85]]", regex.V1)
 _BLANK = regex.compile(r"[\s\p{Z}]+")
@@ -95,7 +96,7 @@ def one_form(values: DataFrame, value: str, vocabulary: DataFrame | None = None)
     else by those of the next script whose result does; otherwise the token stays. The vocabulary is every token of the values themselves
     that needs no repair, and of ``vocabulary`` (a DataFrame with one string column ``text``). Letter case and accents are kept.
 
-    Values are made distinct before any Python runs and only tokens in need of repair are looked up, so a value that makes up a
+    Values are made distinct before any Python runs, split once and stored, and only tokens in need of repair are looked up, so a value that makes up a
     third of all rows costs as much as any other. Null values give no row; an empty text keeps the empty form; whole texts are
     processed; other columns are ignored.
     """
@@ -113,7 +114,7 @@ def one_form(values: DataFrame, value: str, vocabulary: DataFrame | None = None)
                 }
             )
 
-    split_values = distinct.mapInPandas(split, "value string, form string, parts array<struct<text:string,repairs:array<string>>>")
+    split_values = stored(distinct.mapInPandas(split, "value string, form string, parts array<struct<text:string,repairs:array<string>>>"))
     tokens = F.filter(F.split("form", r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
     words = split_values.filter(F.col("parts").isNull()).select(F.explode(tokens).alias("word"))
     if vocabulary is not None:
@@ -135,16 +136,23 @@ def one_form(values: DataFrame, value: str, vocabulary: DataFrame | None = None)
 
 
 def find_disguised(rows: DataFrame, record: str, value: str, targets: DataFrame) -> DataFrame:
-    """Values that look like a target text but are stored in other characters: ``record``, ``target_id``, distinct.
+    """Values that look like a target text but are stored in other characters: ``record``, ``target_id``, distinct. As ``find_disguised_by_field``, of one field."""
+    field = F.lit("").alias("field")
+    asked = rows.select(field, F.col(record).alias("record"), F.col(value).alias("value"))
+    return find_disguised_by_field(asked, targets.select(field, "target_id", "text")).select("record", "target_id")
 
-    ``targets`` has ``target_id`` and ``text``; a value equal to the text as stored is no case. Null records, values and texts give no row;
-    a table without rows gives none.
+
+def find_disguised_by_field(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Values (``field``, ``record``, ``value``) that look like a target text of their field (``field``, ``target_id``, ``text``) but are stored in other
+    characters: ``field``, ``record``, ``target_id``, distinct. Values and texts of all fields are brought to one form together.
+
+    A value equal to the text as stored is no case. Null records, values and texts give no row; a table without rows gives none.
     """
-    texts = targets.filter(F.col("text").isNotNull())
-    forms = one_form(rows, value, texts.select("text"))
-    target_forms = one_form(texts, "text").withColumnRenamed("value", "text")
-    wanted = texts.join(target_forms, "text").select("target_id", F.col("text").alias("stored"), "form")
-    hits = forms.join(wanted, "form").filter(F.col("value") != F.col("stored")).select("value", "target_id")
-    gathered = hits.groupBy("value").agg(F.collect_set("target_id").alias("targets"))  # as many as there are targets of one form
-    found = salted_join(rows.select(F.col(record).alias("record"), F.col(value).alias("value")).filter(F.col("record").isNotNull()), gathered, ["value"])
-    return found.select("record", F.explode("targets").alias("target_id")).distinct()
+    texts = targets.select("field", "target_id", "text").filter(F.col("text").isNotNull())
+    forms = one_form(rows.select("value").union(texts.select("text")), "value")
+    wanted = texts.join(forms.withColumnRenamed("value", "text"), "text").select("field", "target_id", F.col("text").alias("stored"), "form")
+    asked = rows.select("field", "value").filter("value is not null").distinct().join(forms, "value")
+    hits = asked.join(wanted, ["field", "form"]).filter(F.col("value") != F.col("stored")).select("field", "value", "target_id")
+    gathered = stored(hits.groupBy("field", "value").agg(F.collect_set("target_id").alias("targets")))  # as many as there are targets of one form
+    found = salted_join(rows.select("field", "record", "value").filter(F.col("record").isNotNull()), gathered, ["field", "value"])
+    return found.select("field", "record", F.explode("targets").alias("target_id")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.llm.canonical import map_rows, map_to_events
 from darkroom.llm.leakage import find_passages, leaked_items
-from darkroom.llm.lookalikes import find_disguised, one_form
+from darkroom.llm.lookalikes import find_disguised_by_field, one_form
 from darkroom.llm.mixing import mix
 from darkroom.llm.ngrams import ngram_counts, term_marks
 from darkroom.llm.subjects import assign_subjects, composition
@@ -60,17 +60,15 @@ FROM g WHERE i + n - 1 <= len(l) GROUP BY ALL""",
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Folder names and tags that look like a rule's text but are stored in other characters."""
-    files = table(spark, d, "file_records").select("file_id", "source_folder_name", "folder_tags")
+    files = table(spark, d, "file_records")
     use = table(spark, d, "tag_rules").filter("decision = 'use'")
-    folders = find_disguised(files, "file_id", "source_folder_name", use.select(F.col("rule_id").alias("target_id"), F.col("folder_name").alias("text")))
-    tags = find_disguised(
-        files.select("file_id", F.explode("folder_tags").alias("tag")),
-        "file_id",
-        "tag",
-        use.select(F.col("rule_id").alias("target_id"), F.coalesce("alias", "folder_name").alias("text")),
+    rows = lambda field, value: files.select(F.lit(field).alias("field"), F.col("file_id").alias("record"), value.alias("value"))
+    texts = lambda field, text: use.select(F.lit(field).alias("field"), F.col("rule_id").alias("target_id"), text.alias("text"))
+    found = find_disguised_by_field(
+        rows("source_folder_name", F.col("source_folder_name")).unionByName(rows("folder_tags", F.explode("folder_tags"))),
+        texts("source_folder_name", F.col("folder_name")).unionByName(texts("folder_tags", F.coalesce("alias", "folder_name"))),
     )
-    named = lambda df, field: df.select(F.col("record").alias("file_id"), F.lit(field).alias("field_name"), F.col("target_id").alias("rule_id"))
-    return named(folders, "source_folder_name").unionByName(named(tags, "folder_tags"))
+    return found.select(F.col("record").alias("file_id"), F.col("field").alias("field_name"), F.col("target_id").alias("rule_id"))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
