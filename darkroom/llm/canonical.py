@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
@@ -15,19 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.lookalikes import one_form
-from darkroom.session import broadcast_if_small, salted_join, spread
+from darkroom.session import salted_join, spread, stored
 
+#: A name stands for an entry only from this cosine on, and only if it is so far ahead of every other entry that the name agrees with.
 COSINE_THRESHOLD = 0.2
-MARGIN = 0.25
-GRAM = 3
+MARGIN = 0.02
+#: Lengths of the character n-grams.
+GRAMS = (2, 3)
 UNREAD_WORD = 0.7
 
-#: Short forms whose letters do not follow those of the word.
-SHORT_FORMS = {("ste", "saint"), ("bros", "brothers"), ("xmas", "christmas")}
+#: Usual English short forms whose letters do not follow those of the word; replaced wherever they stand as words.
+ABBREVIATIONS = {"xing": "crossing", "x-ing": "crossing", "x ing": "crossing", "ste": "sainte", "bros": "brothers", "xmas": "christmas"}
 _LETTER_FOLDS = {"ø": "o", "ß": "ss", "ı": "i", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ς": "σ"}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _CAMEL = regex.compile(r"(?<=[\p{Ll}\p{Lo}\p{N}])(?=\p{Lu})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 _DATE = regex.compile(r"(?<!\p{N})((?:19|20)\d\d)(?:([-_. ]?)(0[1-9]|1[0-2])(?:\2([0-2]\d|3[01]))?)?(?!\p{N})")
+_SHORT = regex.compile(r"(?i)(?<!\p{L})(?:" + "|".join(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")(?!\p{L})")
 _SHORT_YEAR = regex.compile(r"['’](\d\d)(?!\p{N})|(?<=\p{L})(\d\d)(?=$|[^\p{L}\p{N}])")
 
 
@@ -81,8 +81,6 @@ def shortens(short: str, word: str) -> bool:
     """Whether a word is written short: same first letter, its letters in order, two at least."""
     if not (2 <= len(short) < len(word)) or short[0] != word[0]:
         return False
-    if (short, word) in SHORT_FORMS:
-        return True
     left = iter(word)
     if all(ch in left for ch in short):
         return True
@@ -125,60 +123,9 @@ def place_cost(window: tuple[str, ...], phrase: tuple[str, ...], written: str, r
     return cost
 
 
-@dataclass
-class Events:
-    """The reference list taken apart: its places, occasions and years."""
-
-    rules: list[tuple[int, str, str | None]]  # id, name, alias
-    parts: dict[int, list[tuple[tuple[str, ...], tuple[str, ...], int | None, str, bool]]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        split: dict[int, tuple[list[str], int | None]] = {}
-        starts, ends = Counter(), Counter()
-        for rule, name, _ in self.rules:
-            year, rest = year_of(name)
-            words = rest.split()
-            split[rule] = (words, year)
-        for words in {tuple(w) for w, _ in split.values()}:
-            for k in range(1, len(words)):
-                starts[words[:k]] += 1
-                ends[words[k:]] += 1
-        for rule, _, alias in self.rules:
-            words, year = split[rule]
-            cuts = range(1, len(words)) if len(words) > 1 else [len(words)]
-            k = max(cuts, key=lambda k: self._cut_rank(words, k, starts, ends))
-            place, occasion = tuple(words[:k]), tuple(words[k:])
-            self.parts[rule] = [(self._fold(place), self._fold(occasion), year, " ".join(place).lower(), False)]
-            if alias:
-                alias_year, rest = year_of(alias)
-                own = folded("".join(_WORD.findall(rest))) == "".join(self._fold(place) + self._fold(occasion))
-                two = tuple(folded(w) for w in _CAMEL.sub(" ", rest).split())
-                if not own and two:
-                    self.parts[rule].append((two[:1], two[1:], alias_year, two[0], True))
-
-        every = [part for parts in self.parts.values() for part in parts]
-        self.places = sorted({(p, raw, alias) for p, _, _, raw, alias in every})
-        self.occasions = sorted({(o, alias) for _, o, _, _, alias in every})
-        self.pairs = {(p, raw, o) for p, o, _, raw, alias in every if alias}
-
-    @staticmethod
-    def _cut_rank(words: list[str], k: int, starts: Counter, ends: Counter) -> tuple:
-        """How well a name falls into place and occasion after k words: both halves recur; words that always stand together stay together."""
-        seen = starts[tuple(words[:k])]
-        return sorted((seen, ends[tuple(words[k:])])), k if seen > 1 else -k
-
-    @staticmethod
-    def _fold(words: tuple[str, ...]) -> tuple[str, ...]:
-        return tuple(w for word in words for w in _WORD.findall(folded(word)))
-
-    def core(self) -> list[tuple[int, str]]:
-        """The texts to index: name and alias without years."""
-        return [(rule, "".join(p + o)) for rule, parts in self.parts.items() for p, o, *_ in parts]
-
-
 def tokenisations(name: str) -> list[tuple[list[str], list[str]]]:
     """Ways to cut a name into words: at separators, and at changes of case; each folded and as written."""
-    name = regex.sub(r"(?i)(?<!\p{L})x[- ]?ing(?!\p{L})", lambda m: "Crossing" if m.group()[0] == "X" else "crossing", name)
+    name = _SHORT.sub(lambda m: ABBREVIATIONS[m.group().lower()].capitalize() if m.group()[0].isupper() else ABBREVIATIONS[m.group().lower()], name)
     cuts = [name, _CAMEL.sub(" ", name)]
     if regex.search(r"(?<!\p{L})\p{Ll}\p{Lu}{2}", name):  # typed with the shift lock on
         cuts.append(_CAMEL.sub(" ", name.swapcase()))
@@ -191,19 +138,26 @@ def tokenisations(name: str) -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def read_name(name: str, events: Events, rules: list[int]) -> list[tuple[float, int]]:
-    """The candidate rules that agree with a name in place, occasion and year: (cost, rule), cheapest first.
+def fold_words(words: list[str]) -> list[str]:
+    return [w for word in words for w in _WORD.findall(folded(word))]
 
-    The name is read against the places and occasions of **all** rules and only the cheapest readings count, so that a name whose
-    place or occasion is nearer to another one does not agree with a rule by its remaining words.
+
+def agreeing(name: str, candidates: list[dict]) -> list[tuple[float, int, int]]:
+    """The candidates that a name agrees with in place, occasion and year: (cosine, entry, rule), the best first.
+
+    The name is read against the places and occasions of the candidates and of nothing else. Only the cheapest readings count, so a name whose place or occasion is
+    nearer to that of another candidate does not agree with one by its remaining words. Of an entry's rules one whose year is stated goes before one without.
     """
     year, rest = year_of(name)
-    places, occasions, pairs = events.places, events.occasions, events.pairs
+    places = sorted({(tuple(c["place"]), c["written"], c["alias"]) for c in candidates})
+    occasions = sorted({(tuple(c["occasion"]), c["alias"]) for c in candidates})
+    pairs = {(tuple(c["place"]), c["written"], tuple(c["occasion"])) for c in candidates if c["alias"]}
+    longest = 2 + max((len(p) for p, *_ in [*places, *occasions]), default=0)
     readings: dict[tuple, float] = {}
     for words, raw_words in tokenisations(rest):
         found_places, found_occasions = [], []
         for i in range(len(words)):
-            for j in range(i + 1, min(len(words), i + 5) + 1):
+            for j in range(i + 1, min(len(words), i + longest) + 1):
                 window = tuple(words[i:j])
                 written = " ".join(raw_words[i:j])
                 for p, raw, alias in places:
@@ -237,86 +191,127 @@ def read_name(name: str, events: Events, rules: list[int]) -> list[tuple[float,
     if not readings:
         return []
     best = min(readings.values())
-    near = {r for r, cost in readings.items() if cost <= best + 1e-9}
     out = []
-    for rule in rules:
-        for p, o, stated, raw, alias in events.parts[rule]:
-            if (p, raw, o) not in near:
-                continue
-            rule_year = events.parts[rule][0][2] or stated
-            if alias and stated is None and year is None:
-                rule_year = None
-            if rule_year is None or rule_year == year:
-                out.append((readings[p, raw, o] - (0.5 if rule_year is not None else 0.0), rule))
-    return sorted(out)
-
+    for c in candidates:
+        if readings.get((tuple(c["place"]), c["written"], tuple(c["occasion"])), 99.0) > best + 1e-9:
+            continue
+        agreed = []
+        for r in c["rules"]:
+            wanted = None if c["alias"] and r["stated"] is None and year is None else r["year"] or r["stated"]
+            if wanted is None or wanted == year:
+                agreed.append((wanted is None, r["rule_id"]))
+        if agreed:
+            out.append((c["cosine"], c["entry"], min(agreed)[1]))
+    return sorted(out, key=lambda x: (-x[0], x[2]))
+
+
+def chosen(name: str, candidates: list[dict]) -> tuple[int, float]:
+    """The rule that a name stands for, 0 if there is none, and the best cosine."""
+    found = agreeing(name, candidates)
+    score = max((c["cosine"] for c in candidates), default=0.0)
+    if not found or any(cosine > found[0][0] - MARGIN and entry != found[0][1] and rule != found[0][2] for cosine, entry, rule in found[1:]):
+        return 0, score
+    return found[0][2], score
+
+
+def grams(folded_text: str, written: str) -> list[str]:
+    """Character n-grams of the letters, folded and as written: what differs by accents only has most of them in common, but not all."""
+    return sorted({t[i : i + n] for t in (folded_text, written) if t for n in GRAMS for i in range(max(1, len(t) - n + 1))})
+
+
+def reference_entries(rules: DataFrame) -> DataFrame:
+    """The reference list taken apart, one stored row an entry: ``entry``, ``place``, ``occasion`` (folded words), ``written`` (the place in lower case), ``alias`` and
+    ``rules`` (rule_id, year, and the year that the alias states); with its ``grams``.
+
+    A rule's name falls into place and occasion at the cut at which both halves recur in the list; words that always stand together stay together. An alias that is not
+    the name written together is an entry of its own. All by joins and aggregates; the list is not gathered.
+    """
 
-def grams(core: str) -> set[str]:
-    return {core[i : i + GRAM] for i in range(max(1, len(core) - GRAM + 1))} if core else set()
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for rule, name, alias in zip(frame["rule_id"], frame["folder_name"], frame["alias"], strict=True):
+                year, rest = year_of(name)
+                words, other, stated = rest.split(), None, None
+                if isinstance(alias, str) and alias:
+                    stated, left = year_of(alias)
+                    if folded("".join(_WORD.findall(left))) != "".join(fold_words(words)):
+                        other = _CAMEL.sub(" ", left).split() or None
+                rows.append((rule, words, year, other, stated))
+            out = pd.DataFrame(rows, columns=["rule_id", "words", "year", "other", "stated"])
+            yield out.astype({"year": "Int32", "stated": "Int32"})
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            written = [" ".join(p).lower() for p in frame["head"]]
+            place, occasion = ([fold_words(w) for w in frame[c]] for c in ("head", "tail"))
+            joined = ["".join(_WORD.findall(w + " " + " ".join(o).lower())) for w, o in zip(written, frame["tail"], strict=True)]
+            yield pd.DataFrame(
+                {
+                    "place": place, "occasion": occasion, "written": written, "alias": frame["alias"], "rules": frame["rules"],
+                    "grams": [grams("".join([*p, *o]), j) for p, o, j in zip(place, occasion, joined, strict=True)],
+                }
+            )
+
+    columns = rules.select(F.col("rule_id").cast("bigint").alias("rule_id"), "folder_name", "alias").filter("rule_id is not null and folder_name is not null")
+    parsed = stored(columns.mapInPandas(parse, "rule_id bigint, words array<string>, year int, other array<string>, stated int"))
+    names = parsed.select("words").distinct()
+    cuts = names.filter(F.size("words") > 1).select("words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    cuts = cuts.select("words", "k", F.slice("words", 1, F.col("k")).alias("head"), F.slice("words", F.col("k") + 1, F.size("words")).alias("tail"))
+    seen = lambda half, into: cuts.groupBy(half).agg(F.count(F.lit(1)).alias(into))
+    ranked = cuts.join(seen("head", "begins"), "head").join(seen("tail", "ends"), "tail")
+    rank = F.struct(F.least("begins", "ends"), F.greatest("begins", "ends"), F.when(F.col("begins") > 1, F.col("k")).otherwise(-F.col("k")))
+    best = ranked.groupBy("words").agg(F.max_by(F.struct("head", "tail"), rank).alias("cut"))
+    whole = parsed.join(best, "words", "left").select(
+        F.coalesce("cut.head", "words").alias("head"), F.coalesce("cut.tail", F.array().cast("array<string>")).alias("tail"), F.lit(False).alias("alias"), "rule_id", "year", F.lit(None).cast("int").alias("stated")
+    )
+    other = parsed.filter("other is not null").select(F.slice("other", 1, 1).alias("head"), F.slice("other", 2, F.size("other")).alias("tail"), F.lit(True).alias("alias"), "rule_id", "year", "stated")
+    grouped = whole.unionByName(other).groupBy("head", "tail", "alias").agg(F.array_sort(F.collect_list(F.struct("rule_id", "year", "stated"))).alias("rules"))
+    folded_entries = grouped.mapInPandas(fold, "place array<string>, occasion array<string>, written string, alias boolean, rules array<struct<rule_id:bigint,year:int,stated:int>>, grams array<string>")
+    return stored(folded_entries.select(F.monotonically_increasing_id().alias("entry"), "*"))
 
 
 def map_to_events(values: DataFrame, value: str, rules: DataFrame) -> DataFrame:
-    """The rule each distinct value stands for: ``value``, ``rule_id`` (0 if there is none), ``score``.
+    """The rule each distinct value stands for: ``value``, ``rule_id`` (0 if there is none), ``score`` (the best cosine).
 
-    ``rules`` has rule_id, folder_name and alias (a reference list: its size is bounded and checked by the session's broadcast limit). Values are
-    made distinct, brought to one form and stripped of dates; candidates come from an inverted index of character trigrams by the
-    cosine of their rarity-weighted trigram sets; those above the threshold are then held exactly against the value: place,
-    occasion and, if the rule has a year, year must agree. The cheapest agreeing rule is accepted if the next one is dearer by the margin.
+    ``rules`` has rule_id, folder_name and alias. Values are made distinct, brought to one form and stripped of dates. Candidates come from an inverted index of character
+    n-grams over the list's entries; their score is the cosine of the n-gram sets, weighted by rarity in the list. An entry is accepted if its score is over
+    the threshold and by a margin over that of every other candidate that the name agrees with; place, occasion and, if the rule has a year, year are checked
+    against the candidates. What a name costs depends on its candidates, not on the length of the list, and neither is gathered.
 
-    Defined cases: null and blank values give no row; ties within the margin between different rules give 0; rules whose names repeat are won
+    Defined cases: null and blank values give no row; different entries within the margin give 0; rules whose names repeat are won
     by the smaller id; an empty rule table maps everything to 0; other columns are ignored.
     """
-    entries = [(int(r["rule_id"]), r["folder_name"], r["alias"]) for r in rules.select("rule_id", "folder_name", "alias").filter("folder_name is not null").orderBy("rule_id").collect()]
-    events = Events(entries)
+    entries = reference_entries(rules)
     vocabulary = rules.select(F.col("folder_name").alias("text")).filter("text is not null")
     forms = one_form(values, value, vocabulary).filter("form <> ''")
-    postings: dict[str, set[int]] = {}
-    for rule, core in events.core():
-        for g in grams(core):
-            postings.setdefault(g, set()).add(rule)
-    total = max(1, len(events.parts))
-    weight = {g: math.log(1 + total / len(ids)) for g, ids in postings.items()}
-    top = math.log(1 + total)
-    norms = [(rule, math.sqrt(sum(weight[g] ** 2 for g in grams(core)))) for rule, core in events.core()]
-    index_rows = [
-        (g, rule, k, weight[g], norm)
-        for k, ((rule, core), (_, norm)) in enumerate(zip(events.core(), norms, strict=True))
-        for g in sorted(grams(core))
-    ]
-    spark = values.sparkSession
-    index = spark.createDataFrame(pd.DataFrame(index_rows, columns=["gram", "rule", "entry", "w", "norm"]) if index_rows else [], "gram string, rule bigint, entry int, w double, norm double")
-
-    def trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = float(max(1, entries.count()))
+    in_entries = entries.select("entry", F.explode("grams").alias("gram"))
+    weight = F.log1p(F.lit(total) / F.count(F.lit(1)))
+    index = in_entries.groupBy("gram").agg((weight * weight).alias("w2"), F.collect_list("entry").alias("entries"))
+    norms = in_entries.join(index.select("gram", "w2"), "gram").groupBy("entry").agg(F.sum("w2").alias("norm2"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cores = [grams(folded("".join(_WORD.findall(year_of(f)[1])))) for f in frame["form"]]
-            size = [math.sqrt(sum(weight.get(g, top) ** 2 for g in c)) for c in cores]
-            yield pd.DataFrame({"form": frame["form"], "grams": [sorted(c) for c in cores], "size": size})
+            letters = ["".join(_WORD.findall(year_of(f)[1])) for f in frame["form"]]
+            yield pd.DataFrame({"form": frame["form"], "grams": [grams(folded(t), t.lower()) for t in letters]})
 
     distinct = forms.select("form").distinct()
-    asked = distinct.mapInPandas(trigrams, "form string, grams array<string>, size double").select("form", "size", F.explode("grams").alias("gram"))
-    scored = (
-        asked.join(broadcast_if_small(index), "gram")
-        .groupBy("form", "entry", "rule")
-        .agg((F.sum(F.col("w") * F.col("w")) / (F.first("size") * F.first("norm"))).alias("cosine"))
-        .filter(F.col("cosine") >= COSINE_THRESHOLD)
-    )
-    candidates = scored.groupBy("form").agg(F.max("cosine").alias("score"), F.collect_set("rule").alias("rules"))  # as many as the list has
-
-    def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asked = distinct.mapInPandas(cut, "form string, grams array<string>").select("form", F.explode("grams").alias("gram"))
+    met = asked.join(index, "gram", "left")
+    unknown = F.lit(1.0) * F.log1p(F.lit(total)) * F.log1p(F.lit(total))
+    sizes = met.groupBy("form").agg(F.sum(F.coalesce("w2", unknown)).alias("size2"))
+    common = met.select("form", "w2", F.explode("entries").alias("entry")).groupBy("form", "entry").agg(F.sum("w2").alias("dot"))
+    scored = common.join(norms, "entry").join(sizes, "form").select("form", "entry", (F.col("dot") / F.sqrt(F.col("size2") * F.col("norm2"))).alias("cosine")).filter(F.col("cosine") >= COSINE_THRESHOLD)
+    described = scored.join(entries.drop("grams"), "entry")
+    candidates = described.groupBy("form").agg(F.collect_list(F.struct("cosine", "entry", "place", "occasion", "written", "alias", "rules")).alias("candidates"))
+
+    def accept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            chosen = []
-            for form, ids in zip(frame["form"], frame["rules"], strict=True):
-                ranked = read_name(form, events, sorted(int(i) for i in ids))
-                rule = 0
-                if ranked:
-                    cost, rule = ranked[0]
-                    others = [c for c, r in ranked if r != rule and events.parts[r][0] != events.parts[rule][0]]
-                    if others and others[0] < cost + MARGIN:
-                        rule = 0
-                chosen.append(rule)
-            yield pd.DataFrame({"form": frame["form"], "rule_id": chosen, "score": frame["score"]})
-
-    accepted = spread(candidates, "form").mapInPandas(agree, "form string, rule_id bigint, score double")
+            made = [chosen(form, list(c)) for form, c in zip(frame["form"], frame["candidates"], strict=True)]
+            yield pd.DataFrame({"form": frame["form"], "rule_id": [r for r, _ in made], "score": [s for _, s in made]})
+
+    accepted = spread(candidates, "form").mapInPandas(accept, "form string, rule_id bigint, score double")
     return forms.join(accepted, "form", "left").select("value", F.coalesce("rule_id", F.lit(0)).cast("bigint").alias("rule_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -324,6 +319,6 @@ def map_rows(rows: DataFrame, record: str, value: str, all_names: DataFrame, rul
     """``record``, ``rule_id`` of every row whose value is neither null, blank nor one of ``all_names`` as it stands; one row per record and rule."""
     kept = rows.select(F.col(record).alias("record"), F.col(value).alias("value")).filter(F.col("value").isNotNull()).filter(F.col("record").isNotNull())
     names = all_names.select(F.col(all_names.columns[0]).alias("value")).filter("value is not null").distinct()
-    free = kept.join(broadcast_if_small(names), "value", "left_anti")
+    free = kept.join(names, "value", "left_anti")
     mapped = map_to_events(free, "value", rules)
     return salted_join(free, mapped.select("value", "rule_id"), ["value"]).select("record", "rule_id").distinct()
