@@ -167,8 +167,12 @@ def with_readings(df: DataFrame, text: str, into: str = "readings") -> DataFrame
     )
 
     def wall(year: Column, month: Column, day: Column) -> Column:
-        date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-        return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.unix_date(date).cast("bigint") * F.lit(DAY_US) + c("__clock"))
+        """Microseconds from 1970 by the calendar's arithmetic; null for a day that the month lacks."""
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        length = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        y = year - F.when(month <= 2, 1).otherwise(0)  # years from March on, so that the leap day is the last
+        days = y * 365 + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + F.floor(((month + 9) % 12 * 153 + 2) / 5) + day - 719469
+        return F.when(month.between(1, 12) & (day >= 1) & (day <= length) & (year >= 1), days.cast("bigint") * F.lit(DAY_US) + c("__clock"))
 
     digits = c("__t")
     counted = (

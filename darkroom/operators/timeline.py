@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,42 +57,68 @@ def best_path(rows: list[list[Candidate]], first: int | None = None, last: int |
     return path[::-1]
 
 
-def _rows(frame: pd.DataFrame) -> Iterator[tuple[str, list[Candidate]]]:
-    for source, candidates in zip(frame["__viterbi_source"], frame["__viterbi_candidates"], strict=True):
-        yield source, [(c["prior"], c["fmt"], c["instant_us"]) for c in candidates]
+class _Sequence:
+    """Rows in order, as arrays; the candidates of a row are made into Python values only where they are looked at."""
 
+    def __init__(self, rows: pa.Table):
+        lists = rows["__viterbi_candidates"].combine_chunks()
+        self.offsets = lists.offsets.to_numpy()
+        flat = lists.values
+        self.prior, self.instant = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("prior", "instant_us"))
+        self.formats, self.flat = flat.field("fmt"), flat
+        self.sources = rows["__viterbi_source"].combine_chunks()
+        codes = self.sources.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        self.single = np.diff(self.offsets) == 1
+        self.begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+        self.ends = np.append(self.begins[1:], len(codes)) if len(codes) else np.empty(0, np.int64)
 
-def _border_matrices(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each source's piece in this partition that touches its begin or end: the first row, the last row and the matrix."""
+    def row(self, i: int) -> list[Candidate]:
+        return [(float(self.prior[k]), self.formats[k].as_py(), int(self.instant[k])) for k in range(self.offsets[i], self.offsets[i + 1])]
+
+
+def _border_matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each source's piece in this partition that touches its begin or end: the first row, the last row and the matrix. Beyond a row with a single candidate costs no longer
+    depend on the first row, so only what stands before the first and after the last such row is walked; what lies between adds the same to every entry."""
     pieces: list[dict] = []
-    now: dict | None = None
     part = None
-    for frame in frames:
-        if len(frame) and part is None:
-            part = int(frame["__viterbi_part"].iloc[0])
-        for source, row in _rows(frame):
-            if now is None or now["source"] != source:
-                if now is not None:
-                    pieces = [pieces[0], now] if pieces else [now]
-                now = {"source": source, "head": row, "tail": row, "m": [[c[0] if i == j else float("inf") for j in range(len(row))] for i, c in enumerate(row)]}
-            else:
-                now["m"] = [_forward(costs, now["tail"], row)[0] for costs in now["m"]]
-                now["tail"] = row
-    if now is not None:
-        pieces = [pieces[0], now] if pieces else [now]
-    out = [
-        {
-            "part": part,
-            "place": i,
-            "source": p["source"],
-            "head": [{"prior": a, "fmt": b, "instant_us": c} for a, b, c in p["head"]],
-            "tail": [{"prior": a, "fmt": b, "instant_us": c} for a, b, c in p["tail"]],
-            "matrix": [x for r in p["m"] for x in r],
-        }
-        for i, p in enumerate(pieces)
-    ]
-    if out:
-        yield pd.DataFrame(out)
+
+    def walk(piece: dict, rows: _Sequence, begin: int, end: int) -> None:
+        for i in range(begin, end):
+            row = rows.row(i)
+            piece["m"] = [_forward(costs, piece["tail"], row)[0] for costs in piece["m"]]
+            piece["tail"] = row
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("__viterbi_part")[0].as_py()
+        rows = _Sequence(pa.Table.from_batches([batch]))
+        for begin, end in zip(rows.begins.tolist(), rows.ends.tolist(), strict=True):
+            source = rows.sources[begin].as_py()
+            at = begin
+            if not pieces or pieces[-1]["source"] != source:
+                head = rows.row(begin)
+                pieces = [*pieces[:1], {"source": source, "head": head, "tail": head, "into": None, "m": [[c[0] if i == j else float("inf") for j in range(len(head))] for i, c in enumerate(head)]}]
+                at += 1
+            now = pieces[-1]
+            alone = at + np.flatnonzero(rows.single[at:end])
+            if len(alone):
+                if now["into"] is None:
+                    walk(now, rows, at, int(alone[0]) + 1)
+                    now["into"] = [costs[0] for costs in now["m"]]
+                now["tail"], now["m"] = rows.row(int(alone[-1])), [[0.0]]
+                at = int(alone[-1]) + 1
+            walk(now, rows, at, end)
+    for place, p in enumerate(pieces):
+        matrix = p["m"] if p["into"] is None else [[a + b for b in p["m"][0]] for a in p["into"]]
+        ends = [[[{"prior": a, "fmt": b, "instant_us": c} for a, b, c in p[k]]] for k in ("head", "tail")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([p["source"]], pa.string()), *[pa.array(e, pa.list_(_CANDIDATE)) for e in ends], pa.array([[x for r in matrix for x in r]], pa.list_(pa.float64()))],
+            names=["part", "place", "source", "head", "tail", "matrix"],
+        )
+
+
+_CANDIDATE = pa.struct([("prior", pa.float64()), ("fmt", pa.string()), ("instant_us", pa.int64())])
 
 
 def _join_borders(pieces: list) -> dict[tuple[int, str], tuple[int, int]]:
@@ -131,7 +157,8 @@ def _join_borders(pieces: list) -> dict[tuple[int, str], tuple[int, int]]:
 
 
 def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candidates: str, into: str = "chosen", keep_unread: bool = True) -> DataFrame:
-    """Adds the candidate on the cheapest path of each source, as ``struct<prior, fmt, instant_us>``.
+    """Adds the candidate on the cheapest path of each source, as ``struct<prior, fmt, instant_us>``. Rows with a single candidate cut a sequence into stretches that are
+    settled apart; a task holds the rows of one stretch, at most those of its partition.
 
     ``candidates`` is ``array<struct<prior double, fmt string, instant_us bigint>>``. The cost of a path is the sum of the priors, of
     ``FORMAT_SWITCH`` for every change of ``fmt`` between neighbours and of ``BACKWARD_JUMP`` for every instant before its predecessor's.
@@ -148,7 +175,7 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
     keyed = df.filter(some).select("*", F.to_json(F.struct(*source), {"ignoreNullFields": "false"}).alias("__viterbi_source"), F.col(candidates).cast(CANDIDATES).alias("__viterbi_candidates"))
     ranged = keyed.repartitionByRange("__viterbi_source", *order, F.to_json("__viterbi_candidates")).sortWithinPartitions("__viterbi_source", *order, F.to_json("__viterbi_candidates"))
     fixed_rows = materialise(ranged.withColumn("__viterbi_part", F.spark_partition_id()))
-    borders = fixed_rows.select("__viterbi_part", "__viterbi_source", "__viterbi_candidates").mapInPandas(
+    borders = fixed_rows.select("__viterbi_part", "__viterbi_source", "__viterbi_candidates").mapInArrow(
         _border_matrices, f"part int, place int, source string, head {CANDIDATES}, tail {CANDIDATES}, matrix array<double>"
     )
     fixed = _join_borders(borders.collect())  # at most two rows a partition
@@ -156,48 +183,44 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # rows since the last row with a single candidate, which is the first of them
-        rows: list[list[Candidate]] = []
-        sources: list[str] = []
         begun: set[str] = set()
 
-        def settle(upto: int, ended: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows, sources
+        def settle(rows: _Sequence, upto: int, ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
             part = held["__viterbi_part"][0].as_py()
-            chosen: list[dict] = []
-            start = 0
-            while start < upto:
-                end = start
-                while end < upto and sources[end] == sources[start]:
-                    end += 1
-                goes_on = end < len(sources) and sources[end] == sources[start]
-                first, last = fixed.get((part, sources[start]), (None, None))
-                path = best_path(
-                    rows[start : end + goes_on],
-                    None if sources[start] in begun else first,
-                    None if goes_on or (end == len(sources) and not ended) else last,
-                )
-                begun.add(sources[start])
-                chosen += [dict(zip(("prior", "fmt", "instant_us"), r[i], strict=True)) for r, i in zip(rows[start:end], path, strict=False)]
-                start = end
+            index = rows.offsets[:upto].astype(np.int64)
+            for begin, end in zip(rows.begins.tolist(), rows.ends.tolist(), strict=True):
+                source = rows.sources[begin].as_py()
+                first, last = fixed.get((part, source), (None, None))
+                edges = np.append(np.append(begin - 1, begin + np.flatnonzero(rows.single[begin:end])), end)
+                for before, after in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if before + 1 == after or before + 1 >= upto:
+                        continue
+                    a, b = max(before, begin), min(after + 1, end)  # with the single-candidate rows on either side
+                    path = best_path(
+                        [rows.row(i) for i in range(a, b)],
+                        first if a == begin and source not in begun else None,
+                        last if after == end and (end < len(rows.single) or ended) else None,
+                    )
+                    for i, k in zip(range(a, min(b, upto)), path, strict=False):
+                        index[i] = rows.offsets[i] + k
+                if begin < upto:
+                    begun.add(source)
             ready, held = held.slice(0, upto), held.slice(upto)
-            rows, sources = rows[upto:], sources[upto:]
-            yield from ready.select(names).append_column(into, pa.array(chosen, kind_arrow)).combine_chunks().to_batches()
+            yield from ready.select(names).append_column(into, rows.flat.take(pa.array(index)).cast(_CANDIDATE)).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            sources += new["__viterbi_source"].to_pylist()
-            rows += [[(c["prior"], c["fmt"], c["instant_us"]) for c in row] for row in new["__viterbi_candidates"].to_pylist()]
-            # what stands before the last single-candidate row is settled
-            cut = next((i for i in range(len(rows) - 1, 0, -1) if len(rows[i]) == 1), 0)
-            if cut:
-                yield from settle(cut, False)
-        if rows:
-            yield from settle(len(rows), True)
-
-    kind_arrow = pa.struct([("prior", pa.float64()), ("fmt", pa.string()), ("instant_us", pa.int64())])
+            held = (new if held is None else pa.concat_tables([held, new])).combine_chunks()
+            rows = _Sequence(held)
+            cut = np.flatnonzero(rows.single[1:])  # what stands before the last single-candidate row is settled
+            if len(cut):
+                yield from settle(rows, int(cut[-1]) + 1, False)
+        if held is not None and held.num_rows:
+            yield from settle(_Sequence(held.combine_chunks()), held.num_rows, True)
+
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed_rows.schema if f.name in names), f"`{into}` {kind}"])
     solved = fixed_rows.mapInArrow(solve, schema)
     if not keep_unread:
@@ -213,7 +236,7 @@ def reading_candidates(readings: DataFrame, devices: DataFrame) -> DataFrame:
 
     ``readings`` has reading_id, device_id, read_at, date_source and the three date texts; ``devices`` has device_id, zone_name, date_order and
     video_clock. Result: reading_id, device_id, read_at, field_name, value, ``candidates`` and ``determinate`` (the value denotes exactly one
-    instant by the device's settings). A value that states its zone or offset, or counts from 1970, needs no device. A slash
+    instant by the device's settings). A value that states its zone or offset, or counts from 1970, needs no device, nor does the time of a file system, which is UTC. A slash
     date without a known order keeps both orders as candidates but is never determinate. A wall-clock reading in an overlap has two
     candidates, in a gap none. Rows repeated exactly give one row. Null and empty texts give no candidate.
     """
@@ -228,8 +251,7 @@ def reading_candidates(readings: DataFrame, devices: DataFrame) -> DataFrame:
     joined = rows.join(broadcast_if_small(settings), rows["device_id"] == c("__device"), "left")
     video = F.when(c("__video_clock") == "utc", F.lit("UTC")).when(c("__video_clock") == "local", c("__zone_name"))
     detected = (
-        F.when(c("__device").isNull(), F.lit(None))
-        .when(c("__means") == "filesystemmodified", F.lit("UTC"))
+        F.when(c("__means") == "filesystemmodified", F.lit("UTC"))
         .when(c("__means") == "videometadata", video)
         .otherwise(c("__zone_name"))
     )
@@ -247,7 +269,7 @@ def reading_candidates(readings: DataFrame, devices: DataFrame) -> DataFrame:
         r = F.get("__agreed", F.lit(i))
         instants = F.when(r["epoch_us"].isNotNull(), F.array(r["epoch_us"])).otherwise(instants_of_wall_clock(r["wall_us"], F.coalesce(r["zone"], c("__zone"))))
         named = F.transform(instants, lambda u: F.struct(F.lit(0.0).alias("prior"), r["fmt"].alias("fmt"), u.alias("instant_us")))
-        return F.when(r.isNotNull() & instants.isNotNull(), named).otherwise(F.array().cast(CANDIDATES)).cast(CANDIDATES)
+        return F.coalesce(F.when(r.isNotNull(), named), F.array()).cast(CANDIDATES)
 
     unordered = F.exists("__readings", is_slash) & c("__order").isNull()
     read = staged(read, {"candidates": F.concat(of(0), of(1))})

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,11 +100,25 @@ def test_instants_by_device(spark):
 
 def test_instants_without_device_or_zone(spark):
     got = _readings(spark, [("2021:07:01 12:00:00", "exif", 9), ("2021-07-01T12:00:00Z", "exif", 9), ("03/04/2021 10:00:00 Z", "exif", 9), ("2021:07:01 12:00:00", "filesystem_modified", 9)])
-    assert got[0] == (None, False) and got[1] == (1625140800000000, True) and got[2][1] is False and got[3] == (None, False)
+    assert got[0] == (None, False) and got[1] == (1625140800000000, True) and got[2][1] is False and got[3] == (1625140800000000, True)
     got = _readings(spark, [("2021:07:01 12:00:00", "exif"), ("2021:07:01 12:00:00", "filesystem modified"), ("2021:07:01 12:00:00", "video_metadata")], zone_name=None, video_clock="utc")
     assert got[0] == (None, False) and got[1] == (1625140800000000, True) and got[2] == (1625140800000000, True)
 
 
+def test_ambiguous_values_are_chosen_by_their_neighbours(spark):
+    """A device that writes day first and whose setting is unknown: both orders are possible up to the 12th of a month, and the first reading of an overlap is not always right."""
+    moments = [datetime(2021, 2, 20, 10) + timedelta(days=3 * i, minutes=7 * i) for i in range(60)]
+    texts = [(m.strftime("%d/%m/%Y %H:%M:%S"), "exif") for m in moments]
+    got = _readings(spark, texts, date_order=None, zone_name="UTC")
+    micros = [int(m.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 for m in moments]
+    assert sum(m.day <= 12 and m.day != m.month for m in moments) > 20
+    assert [got[i][0] for i in range(60)] == micros and not any(determined for _, determined in got.values())
+    month_first = [(m.strftime("%m/%d/%Y %H:%M:%S"), "exif") for m in moments]  # here the first candidate is the wrong one
+    assert [v for v, _ in _readings(spark, month_first, date_order=None, zone_name="UTC").values()] == micros
+    clock = [("2021-10-31 02:50:00", "exif"), ("2021-10-31 02:10:00", "exif"), ("2021-10-31 03:05:00", "exif")]
+    assert [v for v, _ in _readings(spark, clock).values()] == [1635641400000000, 1635642600000000, 1635645900000000]  # the second is after the change
+
+
 def test_no_readings(spark):
     frame = spark.createDataFrame([], "reading_id bigint, device_id int, detected_date string, date_source string, video_metadata_date string, filename_date string, read_at int")
     devices = spark.createDataFrame([], "device_id int, zone_name string, date_order string, video_clock string")
