@@ -287,22 +287,24 @@ def map_to_events(values: DataFrame, value: str, rules: DataFrame) -> DataFrame:
     forms = one_form(values, value, vocabulary).filter("form <> ''")
     total = float(max(1, entries.count()))
     in_entries = entries.select("entry", F.explode("grams").alias("gram"))
-    weight = F.log1p(F.lit(total) / F.count(F.lit(1)))
-    index = in_entries.groupBy("gram").agg((weight * weight).alias("w2"), F.collect_list("entry").alias("entries"))
-    norms = in_entries.join(index.select("gram", "w2"), "gram").groupBy("entry").agg(F.sum("w2").alias("norm2"))
+    rarity = F.log1p(F.lit(total) / F.count(F.lit(1)))
+    weights = in_entries.groupBy("gram").agg((rarity * rarity).alias("w2"))
+    norms = in_entries.join(weights, "gram").groupBy("entry").agg(F.sum("w2").alias("norm2"))
+    lists = in_entries.join(norms, "entry").groupBy("gram").agg(F.collect_list(F.struct("entry", "norm2")).alias("entries"))
+    index = stored(weights.join(lists, "gram"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             letters = ["".join(_WORD.findall(year_of(f)[1])) for f in frame["form"]]
             yield pd.DataFrame({"form": frame["form"], "grams": [grams(folded(t), t.lower()) for t in letters]})
 
-    distinct = forms.select("form").distinct()
+    distinct = spread(forms.select("form").distinct(), "form")
     asked = distinct.mapInPandas(cut, "form string, grams array<string>").select("form", F.explode("grams").alias("gram"))
-    met = asked.join(index, "gram", "left")
-    unknown = F.lit(1.0) * F.log1p(F.lit(total)) * F.log1p(F.lit(total))
-    sizes = met.groupBy("form").agg(F.sum(F.coalesce("w2", unknown)).alias("size2"))
-    common = met.select("form", "w2", F.explode("entries").alias("entry")).groupBy("form", "entry").agg(F.sum("w2").alias("dot"))
-    scored = common.join(norms, "entry").join(sizes, "form").select("form", "entry", (F.col("dot") / F.sqrt(F.col("size2") * F.col("norm2"))).alias("cosine")).filter(F.col("cosine") >= COSINE_THRESHOLD)
+    unknown = F.log1p(F.lit(total)) * F.log1p(F.lit(total))
+    sized = asked.join(index.select("gram", "w2"), "gram", "left").groupBy("form").agg(F.sum(F.coalesce("w2", unknown)).alias("size2"), F.collect_list("gram").alias("grams"))
+    met = sized.select("form", "size2", F.explode("grams").alias("gram")).join(index, "gram").select("form", "size2", "w2", F.explode("entries").alias("e"))
+    common = met.groupBy("form", "size2", "e.entry", "e.norm2").agg(F.sum("w2").alias("dot"))  # lies together by form already
+    scored = common.select("form", "entry", (F.col("dot") / F.sqrt(F.col("size2") * F.col("norm2"))).alias("cosine")).filter(F.col("cosine") >= COSINE_THRESHOLD)
     described = scored.join(entries.drop("grams"), "entry")
     candidates = described.groupBy("form").agg(F.collect_list(F.struct("cosine", "entry", "place", "occasion", "written", "alias", "rules")).alias("candidates"))
 
