@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import regex
 
@@ -11,13 +12,17 @@ _BLOCK = regex.compile(r"<blockquote[^>]*>(?:(?!<blockquote).)*?</blockquote>",
 _MARKED_LINE = regex.compile(r"^[ \t]*(?:>|&gt;|»).*$", regex.M)
 _ATTRIBUTION = regex.compile(r"^[^\n]{0,80}\b(?:wrote|writes|said|schrieb|escribió|dijo):[ \t]*$", regex.M | regex.I)
 _SIGNATURE = regex.compile(r"(?:^|\n)(?:-- ?|_{3,}|={3,}|\*{3,})[ \t]*\n|<hr ?/?>|(?:^|\n)(?=~{2,}[^\n]*~{2,}\s*$)", regex.I)
-SIGNATURE_LENGTH = 200
-LAST_LINE = 80
 _BREAK_TAG = regex.compile(r"<(?:br|p|/p|div|/div|li|/li|hr)\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z][^<>]*>|\[img\][^\[]*\[/img\]|\[/?[A-Za-z]+(?:=[^\[\]]*)?\]", regex.I)
-_SENTENCE_END = regex.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n\s*\n")
-_GOES_ON = regex.compile(r"^(?:It|Mine|They|He|She) [a-z]")
-_HAS_WORD = regex.compile(r"\p{L}")
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n\s*\n")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+_ENDED = re.compile(r"[.!?…:)\"'>]$")
+#: A short answer to the question before it, which it belongs to: it begins with a pronoun.
+_ANSWER = re.compile(r"^(?:It|Its|Mine|Yours|Ours|Theirs|They|He|She) [a-z]")
+_HAS_WORD = re.compile(r"[^\W\d_]")
+#: What stands for a sentence in chat without a full stop.
+_INTERJECTION = re.compile(r"(?:lol|rofl|thx|\+1|[:;]-?[()DP])(?=\s|$)", re.I)
+_NOTE = re.compile(r"^(?:edit|re|p\.?s\.?):\s*", re.I)
 
 
 def own_text(text: str) -> str:
@@ -31,12 +36,12 @@ def own_text(text: str) -> str:
     if ":" in text:
         text = _ATTRIBUTION.sub("\n", text)
     for m in _SIGNATURE.finditer(text):
-        if len(text) - m.end() <= SIGNATURE_LENGTH and "\n\n" not in text[m.end() :].strip():
+        if not _PARAGRAPH.search(text[m.end() :].strip()):  # what a mark opens is the signature if it is the post's last paragraph
             text = text[: m.start()]
             break
-    *body, last = regex.split(r"\n[ \t]*\n", text.rstrip())
+    *body, last = _PARAGRAPH.split(text.rstrip())
     bare = _TAG.sub(" ", last).strip()
-    if body and "\n" not in bare and len(bare) <= LAST_LINE and not regex.search(r"[.!?…:)\"'>]$", bare) and " " in bare:
+    if body and "\n" not in bare and " " in bare and not _ENDED.search(bare) and not _INTERJECTION.match(_NOTE.sub("", bare)):
         plain = _TAG.sub(" ", _BREAK_TAG.sub("\n\n", last))
         begin = max((m.end() for m in _SENTENCE_END.finditer(plain) if plain[m.end() :].strip()), default=0)
         text = "\n\n".join([*body, plain[:begin]])  # a closing line that is no sentence; the sentences before it stay
@@ -44,14 +49,22 @@ def own_text(text: str) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of a post's own text. A line break alone ends none; what goes on with a pronoun after a question belongs to it."""
-    plain = html.unescape(_TAG.sub(" ", _BREAK_TAG.sub("\n\n", own_text(text))))
+    """Sentences of a post's own text. A line break alone ends none; a short answer belongs to the question before it; an interjection at the begin of a piece is a
+    sentence of its own."""
+    plain = own_text(text)
+    if "<" in plain or "[" in plain:
+        plain = _TAG.sub(" ", _BREAK_TAG.sub("\n\n", plain))
+    if "&" in plain:
+        plain = html.unescape(plain)
     out: list[str] = []
     for piece in _SENTENCE_END.split(plain):
         piece = " ".join(piece.split())
+        while m := _INTERJECTION.match(piece):
+            out.append(m.group())
+            piece = piece[m.end() :].lstrip()
         if not _HAS_WORD.search(piece):
             continue
-        if out and out[-1].endswith("?") and _GOES_ON.match(piece):
+        if _INTERJECTION.match(_NOTE.sub("", piece)) is None and out and out[-1].endswith("?") and _ANSWER.match(piece):
             out[-1] += " " + piece
         else:
             out.append(piece)

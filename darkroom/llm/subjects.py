@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -12,28 +13,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.posts import sentences
-from darkroom.session import materialise
+from darkroom.session import stored
 
 #: At most so many labelled examples are fitted on (the first by id); a documented bound of the fit, not of the corpus.
 MAX_EXAMPLES = 20_000
 SHARE_OF_SENTENCES = 0.25
 SEED_PURITY, SEED_COUNT = 0.7, 2
-SENTENCE_THRESHOLD, SENTENCE_MARGIN = 1.5, 0.7
+#: Thresholds to choose from by ``calibrated``: the least score of a sentence, and the share of the best score that a further subject needs.
+SENTENCE_THRESHOLDS, SENTENCE_MARGINS = (1.0, 1.2, 1.5, 1.8, 2.1, 2.5), (0.5, 0.6, 0.7, 0.8)
 TERM_WEIGHT = 1.1
 PURE_TERM, COMMON = 2.6, 50
 #: A term of an example about no subject counts only if this share of its sentences is of one subject.
 IDLE_PURITY = 0.9
 STRONG_WEIGHT, LABEL_WEIGHT = 2.3, 2.0
-PASSES = 3
-#: A term must stand in at least this share of all own sentences (and in five), which bounds the number of terms whatever the corpus.
-LEAST_SHARE = 1e-5
+PASSES = 2
+#: A term counts from so many own sentences on, whatever the size of the corpus.
+LEAST_COUNT = 5
+#: Sentences whose judgement a task keeps, since small talk recurs.
+KEPT_LINES = 50_000
 
 Weights = dict[str, dict[str, float]]
 _WORD = regex.compile(r"[\p{L}\p{M}]{3,}")
+_PLAIN_WORD = re.compile(r"[a-z]{3,}")
 
 
 def terms_of(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.casefold())
+    return _PLAIN_WORD.findall(sentence.lower()) if sentence.isascii() else _WORD.findall(sentence.casefold())
 
 
 def padded(sentence: str) -> str:
@@ -67,10 +72,12 @@ def _weigh(counts: dict[str, Counter], subjects: list[str], total: float, least:
 class Matcher:
     """A multi-pattern automaton over the weighted terms."""
 
-    def __init__(self, weights: Weights, strong: set[str] = frozenset()):
+    def __init__(self, weights: Weights, strong: set[str], thresholds: tuple[float, float]):
         import ahocorasick
 
         self.strong = strong
+        self.threshold, self.margin = thresholds
+        self.known: dict[str, tuple[list[str], bool]] = {}
         self.automaton = ahocorasick.Automaton()
         for term, by in weights.items():
             self.automaton.add_word(f" {term} ", (term, by))
@@ -93,6 +100,14 @@ class Matcher:
 
     def judged(self, line: str) -> tuple[list[str], bool]:
         """The subjects of a sentence, and whether two different terms or a strong one speak for the first."""
+        known = self.known.get(line)
+        if known is None:
+            if len(self.known) >= KEPT_LINES:
+                self.known.clear()
+            known = self.known[line] = self._judged(line)
+        return known
+
+    def _judged(self, line: str) -> tuple[list[str], bool]:
         found = self.hits(line)
         subjects = self.subjects(line, found)
         if not subjects:
@@ -111,7 +126,7 @@ class Matcher:
         if not scores:
             return []
         best = max(scores.values())
-        return sorted(s for s, v in scores.items() if v >= SENTENCE_THRESHOLD and v >= SENTENCE_MARGIN * best)
+        return sorted(s for s, v in scores.items() if v >= self.threshold and v >= self.margin * best)
 
 
 def idle_terms(examples: list[tuple[str, str | None]]) -> set[str]:
@@ -149,12 +164,34 @@ def own_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return kept.mapInArrow(split, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lines array<string>")
 
 
-def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects: list[str], idle: set[str] = frozenset()) -> Weights:
+def calibrated(examples: list[tuple[str, str | None]], subjects: list[str], share: float = SHARE_OF_SENTENCES) -> tuple[float, float]:
+    """The thresholds at which the labelled examples come out best (F1): each half is judged by terms of the other half. Ties go to the pair nearest the middle of both lists."""
+    halves = [[x for i, x in enumerate(examples) if i % 2 == h] for h in (0, 1)]
+    lines = [[([padded(x) for x in sentences(text)], subject) for text, subject in half] for half in halves]
+    middle = lambda values, v: abs(values.index(v) - (len(values) - 1) / 2)
+    best: tuple | None = None
+    for threshold in SENTENCE_THRESHOLDS:
+        for margin in SENTENCE_MARGINS:
+            right = wrong = 0
+            for h in (0, 1):
+                seeds = seed_weights(halves[1 - h], subjects)
+                matcher = Matcher(seeds, strong_seeds(halves[1 - h], seeds), (threshold, margin))
+                for own, subject in lines[h]:
+                    got = {s for s, (n, total) in post_subjects(matcher, own).items() if n >= share * total}
+                    right += 2 * (subject in got)
+                    wrong += len(got) + (subject is not None)
+            rank = (right / max(1, wrong), -middle(SENTENCE_THRESHOLDS, threshold) - middle(SENTENCE_MARGINS, margin))
+            if best is None or rank > best[0]:
+                best = (rank, (threshold, margin))
+    return best[1]
+
+
+def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects: list[str], thresholds: tuple[float, float], idle: set[str] = frozenset()) -> Weights:
     """Term weights over the whole corpus (``own_lines``): sentences are labelled by the seeds, each term's sentences counted by label. Each batch
     sends one partial count per term and label."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(seeds, strong)
+        matcher = Matcher(seeds, strong, thresholds)
         for batch in batches:
             seen: dict[str, Counter] = {}
             for line in batch.column(0).flatten().to_pylist():
@@ -166,11 +203,13 @@ def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects:
 
     partial = posts.select("lines").mapInArrow(count, "term string, label string, n bigint")
     by_term = partial.groupBy("term", "label").agg(F.sum("n").alias("n")).groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"), F.sum("n").alias("n"))
-    stored = materialise(by_term)
-    total = (stored.filter("term = ''").select("n").first() or [0])[0]
-    least = max(5.0, LEAST_SHARE * total)
-    counts = {r["term"]: Counter(r["by"]) for r in stored.filter((F.col("n") >= least) & (F.col("term") != "")).toLocalIterator()}
-    return _weigh(counts, subjects, total, least, idle)
+    counted = stored(by_term)
+    total = (counted.filter("term = ''").select("n").first() or [0])[0]
+    most = F.array_max(F.transform(F.map_entries(F.map_filter("by", lambda label, _: label != "")), lambda e: e["value"]))
+    even = F.lit(1.0 / (len(subjects) + 1))  # a term that is no more frequent in any subject than evenly has no weight
+    telling = counted.filter((F.col("n") >= LEAST_COUNT) & (F.col("term") != "") & (most > even * F.col("n")))
+    counts = {r["term"]: Counter(r["by"]) for r in telling.toLocalIterator()}
+    return _weigh(counts, subjects, total, LEAST_COUNT, idle)
 
 
 def strong_terms(weights: Weights, least: float = STRONG_WEIGHT) -> set[str]:
@@ -192,9 +231,9 @@ def post_subjects(matcher: Matcher, lines: list[str]) -> dict[str, tuple[int, in
 def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame, subjects: DataFrame, share: float = SHARE_OF_SENTENCES) -> DataFrame:
     """Every post with the subjects that at least ``share`` of its own sentences are about: ``doc_id``, ``subject``, ``about``, ``sentences``.
 
-    ``examples`` has example_id, text and subject (null: about none), ``subjects`` has subject. Seed terms come from the examples, their weights and
-    further terms (other languages, rarer words) from all own sentences of the corpus, counted in ``PASSES`` rounds: labelled by the seeds, then by the
-    weights of the round before. Sentences are matched by one automaton of all
+    ``examples`` has example_id, text and subject (null: about none), ``subjects`` has subject. The terms are curated from the examples: those that stand mostly in one subject's.
+    Their weights and further terms (other languages, rarer words) come from all own sentences of the corpus, counted in ``PASSES`` rounds: labelled by the
+    examples' terms, then by the weights of the round before. The thresholds are calibrated on the examples (``calibrated``). Sentences are matched by one automaton of all
     weighted terms; every subject over the thresholds is assigned.
 
     Defined cases: null texts and ids give no row; texts without own sentences have no subject; repeated rows give one row; without examples no post
@@ -203,16 +242,17 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, examples: DataFrame
     names = sorted(r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect())
     labelled = [(r["text"] or "", r["subject"]) for r in examples.select("example_id", "text", "subject").orderBy("example_id").limit(MAX_EXAMPLES).collect()]
     seeds = seed_weights(labelled, names)
+    thresholds = calibrated(labelled, names)
     idle = idle_terms(labelled)
-    posts = materialise(own_lines(docs, doc_id, text))  # read by every pass
-    weights = corpus_weights(posts, seeds, strong_seeds(labelled, seeds), names, idle)
+    posts = stored(own_lines(docs, doc_id, text))  # read by every pass
+    weights = corpus_weights(posts, seeds, strong_seeds(labelled, seeds), names, thresholds, idle)
     for _ in range(PASSES - 1):
-        weights = corpus_weights(posts, seeds | weights, strong_terms(weights, LABEL_WEIGHT), names, idle)
+        weights = corpus_weights(posts, seeds | weights, strong_terms(weights, LABEL_WEIGHT), names, thresholds, idle)
     for term, by in seeds.items():
         weights.setdefault(term, by)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(weights, strong_terms(weights))
+        matcher = Matcher(weights, strong_terms(weights), thresholds)
         for batch in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for i, value in enumerate(batch.column(1).to_pylist()):
