@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions.instants import instants_of_wall_clock, staged, with_readings, zone_or_null
-from darkroom.session import broadcast_if_small, materialise
+from darkroom.session import broadcast_if_small, materialise, stored
 
 FORMAT_SWITCH = 1.0
 BACKWARD_JUMP = 0.5
@@ -173,6 +173,7 @@ def choose_by_viterbi(df: DataFrame, source: list[str], order: list[str], candid
     some = F.size(F.coalesce(F.col(candidates), F.array().cast(CANDIDATES))) > 0
     kind = "struct<prior:double,fmt:string,instant_us:bigint>"
     keyed = df.filter(some).select("*", F.to_json(F.struct(*source), {"ignoreNullFields": "false"}).alias("__viterbi_source"), F.col(candidates).cast(CANDIDATES).alias("__viterbi_candidates"))
+    keyed = stored(keyed)  # the range partitioning reads it twice
     ranged = keyed.repartitionByRange("__viterbi_source", *order, F.to_json("__viterbi_candidates")).sortWithinPartitions("__viterbi_source", *order, F.to_json("__viterbi_candidates"))
     fixed_rows = materialise(ranged.withColumn("__viterbi_part", F.spark_partition_id()))
     borders = fixed_rows.select("__viterbi_part", "__viterbi_source", "__viterbi_candidates").mapInArrow(
