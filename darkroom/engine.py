@@ -17,7 +17,7 @@ from darkroom.functions import dates, names, paths, tags
 from darkroom.functions.instants import staged
 from darkroom.operators import actions, collisions, exporting, reports, verification
 from darkroom.operators.discovery import run_entries
-from darkroom.session import broadcast_if_small, build_session, materialise
+from darkroom.session import broadcast_if_small, build_session, materialise, stored
 from darkroom.sources import fstree, metadata, records
 
 SQL_FUNCTIONS = {
@@ -111,7 +111,13 @@ class Engine:
     # --- plan and apply ---------------------------------------------------------------------------------------------
     def plan(self, files: DataFrame, root: str, operation: str = "copy") -> DataFrame:
         cfg = self.config
-        return exporting.plan_operations(files, root, cfg.sorting.folder_structure, operation, cfg.renaming.enabled, cfg.folder_tags.enabled)
+        return exporting.plan_operations(files, root, cfg.sorting.folder_structure, operation, cfg.renaming.enabled, cfg.folder_tags.enabled, self.naming)
+
+    @property
+    def naming(self) -> dict:
+        """The configured form of new names."""
+        r = self.config.renaming
+        return {"pattern": r.pattern, "date_format": r.date_format, "time_format": r.time_format, "tag_format": r.tag_part_format, "lowercase_ext": r.lowercase_extensions}
 
     def resolved(self, files: DataFrame, root: str, operation: str = "copy") -> DataFrame:
         """The plan with collisions resolved against what is on disk. Only contested files and those of a size seen more than once are hashed."""
@@ -133,38 +139,36 @@ class Engine:
         )
         return ops.unionByName(planned.filter("operation = 'skip'"))
 
-    def apply(self, source: str, destination: str, dry_run: bool = True, move: bool = False, state: str | None = None) -> records.RunRecord:
-        """Plans, writes the run record and, unless dry, carries it out. The plan is fetched once, so no retry can plan anew."""
+    def apply(self, source: str, destination: str, dry_run: bool = True, move: bool = False, state: str | None = None, write_record: bool | None = None) -> records.RunRecord:
+        """Plans, writes the run record and, unless dry, carries it out. The plan is stored first, so no retry can plan anew; files are copied or moved by the executors,
+        which must see both folders, and ``results`` of the record has a row a file. The record is one document, as its format wants; without it
+        (``write_record``) nothing is gathered."""
         operation = "move" if move and not dry_run else "copy"
         files = self.scan(source)
-        rows = (self.plan(files, destination) if dry_run else self.resolved(files, destination, operation)).orderBy("source_path").collect()
+        planned = stored(self.plan(files, destination) if dry_run else self.resolved(files, destination, operation))
         cfg = self.config
         mode = "dry_run" if dry_run else "live_move" if move else "live_copy"
         signature = {"folder_structure": cfg.sorting.folder_structure, "renaming_enabled": cfg.renaming.enabled, "renaming_pattern": cfg.renaming.pattern, "folder_tags_enabled": cfg.folder_tags.enabled, "on_collision": cfg.duplicates.on_collision}
         folder = Path(state or cfg.verify.state_dir) / cfg.verify.run_record_dir
         record = records.RunRecord(folder, str(Path(source).resolve()), str(Path(destination).resolve()), mode, signature)
-        with record:
-            for r in rows:
-                record.add(r["operation"], r["source_path"], r["destination_path"], r["reason"])
-        record.batch = actions.Batch(dry_run)
-        if not dry_run:
-            todo = [(r["source_path"], r["destination_path"]) for r in rows if r["operation"] != "skip"]
-            (record.batch.move if move else record.batch.copy)(todo)
+        if cfg.verify.write_run_record if write_record is None else write_record:
+            with record:
+                for r in planned.orderBy("source_path").toLocalIterator():
+                    record.add(r["operation"], r["source_path"], r["destination_path"], r["reason"])
+        todo = planned.filter("operation <> 'skip'").select(F.col("source_path").alias("source"), F.col("destination_path").alias("destination"))
+        record.planned, record.results = planned, stored(actions.carry_out(todo, move)) if not dry_run else None
+        record.failed = 0 if dry_run else record.results.filter("not ok").count()
         return record
 
     # --- verify and clean up ----------------------------------------------------------------------------------------
-    def hashed_listing(self, found: DataFrame) -> DataFrame:
-        exists = metadata.read_hashes(found, "sha256")
-        return exists.filter("file_hash is not null").withColumn("size_bytes", F.lit(None).cast("bigint"))
-
     def verify(self, runs: DataFrame, algorithm: str = "sha256") -> DataFrame:
         """Status of every entry of the runs, by reading the files named in them."""
         entries = run_entries(runs).select("run_id", "source_path", "destination_path", "operation")
         copies = entries.filter("operation = 'copy'")
-        sources = self.hashed_listing(copies.select(F.col("source_path").alias("path")).distinct())
-        targets = self.hashed_listing(copies.filter("destination_path is not null").select(F.col("destination_path").alias("path")).distinct())
-        checked = verification.verify(entries, sources, targets, algorithm)
-        return checked.withColumn("hash_algorithm", F.lit(algorithm))
+        deep = algorithm == "sha256"
+        sources = metadata.read_listing(copies.select(F.col("source_path").alias("path")).distinct(), contents=deep)
+        targets = metadata.read_listing(copies.select(F.col("destination_path").alias("path")).distinct(), contents=deep)
+        return verification.explained(verification.verify(entries, sources, targets, algorithm), algorithm)
 
     def verify_reconstructed(self, source: str, destination: str, algorithm: str = "sha256") -> DataFrame:
         """Without a run record: the plan is made again and compared with the destination; with ``content_search_on_reconstruct`` a file missing at its
@@ -172,30 +176,40 @@ class Engine:
         is compared with the winner's."""
         planned = materialise(self.plan(self.scan(source), destination).filter("operation = 'copy'"))
         runs = planned.select(F.lit(None).cast("string").alias("run_id"), "source_path", "destination_path", "operation")
-        sources = self.hashed_listing(runs.select(F.col("source_path").alias("path")))
+        deep = algorithm == "sha256"
+        sources = metadata.read_listing(runs.select(F.col("source_path").alias("path")), contents=deep)
         found = fstree.list_files(self.spark, destination, hidden=True).filter("error is null") if Path(destination).is_dir() else fstree.list_files(self.spark, source).limit(0)
-        targets = self.hashed_listing(found)
-        checked = materialise(verification.verify(runs, sources, targets, algorithm))
-        if self.config.verify.content_search_on_reconstruct and algorithm == "sha256":
-            lost = checked.filter("status = 'missing_destination'")
-            hits = verification.search_content(lost.select(F.col("source_path").alias("path"), F.lit(None).cast("bigint").alias("size_bytes"), F.col("source_hash").alias("file_hash")).fillna({"size_bytes": 0}), targets.fillna({"size_bytes": 0}))
-            hits = hits.filter("match is not null").select(F.col("path").alias("source_path"), "match")
-            checked = checked.join(hits, "source_path", "left").withColumns({"status": F.when(F.col("match").isNotNull(), "ok_existing_duplicate").otherwise(F.col("status")), "destination_path": F.coalesce("match", "destination_path")}).drop("match")
-        return checked.withColumn("hash_algorithm", F.lit(algorithm))
-
-    def save_verification(self, report: DataFrame, run_id: str, roots: tuple[str, str], state: str | None = None) -> Path:
-        rows = [r.asDict() for r in report.orderBy("source_path").collect()]
-        entries = [
-            {"source_path": r["source_path"], "expected_destination_path": r["destination_path"], "actual_destination_path": r["destination_path"], "status": r["status"], "match_type": "expected_path",
-             "hash_algorithm": r["hash_algorithm"], "source_hash": r["source_hash"], "destination_hash": r["destination_hash"], "error": None} for r in rows
-        ]
-        summary = {"total": len(rows)} | {s: sum(r["status"] == s for r in rows) for s in verification.STATUSES}
-        document = {"verify_id": records.new_id(), "created_at": datetime.now().isoformat(), "source_root": roots[0], "destination_root": roots[1], "input_source": "run_record", "run_id": run_id, "hash_algorithm": "sha256", "entries": entries, "summary": summary, "duration_seconds": 0.0}
+        sources, targets = stored(sources), stored(metadata.read_listing(found, contents=deep))
+        checked = stored(verification.explained(verification.verify(runs, sources, targets, algorithm), algorithm))
+        if self.config.verify.content_search_on_reconstruct and deep:
+            lost = sources.join(checked.filter("status = 'missing_destination'").select(F.col("source_path").alias("path")), "path", "left_semi")
+            hits = verification.search_content(lost, targets).filter("match is not null").select(F.col("path").alias("source_path"), "match")
+            found_by_content = F.col("match").isNotNull()
+            checked = checked.join(hits, "source_path", "left").withColumns(
+                {
+                    "status": F.when(found_by_content, "ok_existing_duplicate").otherwise(F.col("status")),
+                    "match_type": F.when(found_by_content, "content_search").otherwise(F.col("match_type")),
+                    "actual_destination_path": F.coalesce("match", "actual_destination_path"),
+                    "destination_hash": F.when(found_by_content, F.col("source_hash")).otherwise(F.col("destination_hash")),
+                }
+            ).drop("match")
+        return checked
+
+    def save_verification(self, report: DataFrame, run_id: str | None, roots: tuple[str, str], state: str | None = None, seconds: float = 0.0) -> Path:
+        """Writes a verification as one document, as its format wants; a report without run is a reconstructed one."""
+        report = stored(report)
+        wanted = ["source_path", F.col("destination_path").alias("expected_destination_path"), "actual_destination_path", "status", "match_type", "hash_algorithm", "source_hash", "destination_hash", "error"]
+        entries = [r.asDict() for r in report.select(*wanted).orderBy("source_path").toLocalIterator()]
+        summary = verification.status_counts(report).first().asDict()
+        algorithm = (report.select("hash_algorithm").first() or [self.config.verify.algorithm])[0]
+        document = {"verify_id": records.new_id(), "created_at": datetime.now().isoformat(), "source_root": roots[0], "destination_root": roots[1], "input_source": "run_record" if run_id else "reconstructed", "run_id": run_id, "hash_algorithm": algorithm, "entries": entries, "summary": summary, "duration_seconds": seconds}
         return records.write_verification(Path(state or self.config.verify.state_dir) / self.config.verify.verification_dir, document)
 
     def clean_up(self, report: DataFrame, dry_run: bool = True) -> dict:
-        eligible = verification.cleanup_eligible(report, not self.config.verify.allow_cleanup_on_quick).orderBy("source_path")
-        return actions.delete_sources([(r["source_path"], r["destination_path"]) for r in eligible.select("source_path", "destination_path").collect()], dry_run)
+        """Deletes the sources of eligible entries on the executors, where the destination still is; counts and freed bytes."""
+        eligible = verification.cleanup_eligible(report, not self.config.verify.allow_cleanup_on_quick)
+        todo = eligible.select(F.col("source_path").alias("source"), F.col("destination_path").alias("destination"))
+        return actions.deletion_totals(stored(actions.delete_files(todo, dry_run)))
 
     # --- export -----------------------------------------------------------------------------------------------------
     def export_json(self, files: DataFrame, root: str, output: str | None = None, statistics: bool = True, pretty: bool = True) -> str:
@@ -209,6 +223,13 @@ class Engine:
             Path(output).write_text(text, encoding="utf-8")
         return text
 
+    def export_parts(self, files: DataFrame, folder: str, form: str = "json") -> None:
+        """The export as a folder of part files, written by the executors: JSON lines or CSV with header. Nothing is gathered."""
+        if form == "json":
+            exporting.json_rows(files).select("json").write.mode("errorifexists").text(folder)
+        else:
+            exporting.csv_rows(files).write.mode("errorifexists").option("header", "true").option("emptyValue", "").option("escape", '"').csv(folder)
+
     def export_csv(self, files: DataFrame, output: str | None = None) -> str:
         out = io.StringIO(newline="")
         writer = csv.writer(out)

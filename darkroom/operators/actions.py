@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from darkroom.session import spread
+
 
 class FileActionError(Exception):
     """A destination collides where the policy forbids it."""
@@ -115,6 +123,55 @@ class Batch:
         self.failed.clear()
 
 
+def carry_out(todo: DataFrame, move: bool = False) -> DataFrame:
+    """Copies or moves the files of a stored plan (``source``, ``destination``) on the executors: ``source``, ``destination``, ``ok``, ``message``, a row a file.
+
+    A task that runs again after a loss finds its own work: a destination with the same content, or a moved file whose source is gone, counts as done. Plans name free
+    destinations only, so nothing else can be there. Null paths give a failed row.
+    """
+
+    def one(source: str | None, destination: str | None) -> tuple[bool, str]:
+        if not source or not destination:
+            return False, "no path"
+        src, dst = Path(source), Path(destination)
+        if dst.is_file() and (filecmp.cmp(src, dst, shallow=False) if src.is_file() else move):
+            if move:
+                src.unlink(missing_ok=True)
+            return True, f"{'moved' if move else 'copied'} to {dst}"
+        return (move_file if move else copy_file)(src, dst, False)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [one(s, d) for s, d in zip(frame["source"], frame["destination"], strict=True)]
+            yield frame.assign(ok=[ok for ok, _ in made], message=[m for _, m in made])
+
+    return spread(todo.select("source", "destination"), "source").mapInPandas(run, "source string, destination string, ok boolean, message string")
+
+
+def delete_files(todo: DataFrame, dry_run: bool = True) -> DataFrame:
+    """Deletes sources (``source``, ``destination``) on the executors where the destination, if one is recorded, still is: ``source``, ``outcome`` (deleted, skipped,
+    failed), ``size_bytes``. A task that runs again reports what it deleted before as skipped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for source, destination in zip(frame["source"], frame["destination"], strict=True):
+                done = delete_sources([(source, destination)], dry_run) if source else {"deleted": [], "failed": [], "bytes_freed": 0}
+                rows.append((source, "deleted" if done["deleted"] else "failed" if done["failed"] else "skipped", done["bytes_freed"]))
+            yield pd.DataFrame(rows, columns=["source", "outcome", "size_bytes"])
+
+    once = todo.groupBy("source").agg(F.min("destination").alias("destination"))
+    return spread(once, "source").mapInPandas(run, "source string, outcome string, size_bytes bigint")
+
+
+def deletion_totals(results: DataFrame) -> dict:
+    """Counts per outcome, freed bytes and the rate of success."""
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome).alias(outcome)
+    out = results.agg(n("deleted"), n("skipped"), n("failed"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes_freed")).first().asDict()
+    tried = out["deleted"] + out["failed"]
+    return out | {"success_rate": 100.0 * out["deleted"] / tried if tried else 0.0}
+
+
 def delete_sources(rows: list[tuple[str, str | None]], dry_run: bool = True) -> dict:
     """Deletes sources whose recorded destination still exists; counts and freed bytes."""
     out = {"deleted": [], "skipped": [], "failed": [], "bytes_freed": 0}

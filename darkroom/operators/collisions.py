@@ -151,6 +151,20 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, polic
     return free.unionByName(settled).unionByName(exact)
 
 
+def unique_names(names: DataFrame) -> DataFrame:
+    """Names given to files, made unique without regard to letter case: ``source``, ``name``, ``unique_name``. The first file by source keeps its name, a later one gets the lowest
+    counter whose name no file before it has, names that end in a counter themselves included.
+
+    Defined cases: null sources and names are left out; a source with several names has the least; repeated rows count once; empty tables give an empty result.
+    """
+    one = names.filter("source is not null and name is not null").groupBy("source").agg(F.min("name").alias("name"))
+    wanted = one.select("source", F.concat(F.lit("/"), F.lower("name")).alias("destination"), F.lit(None).cast("string").alias("file_hash"))
+    settled = resolve_collisions(wanted, None, "rename").filter("outcome = 'renamed'").select("source", "final_destination")
+    stem, suffix = paths.stem(F.col("name")), paths.suffix(F.col("name"))
+    counted = F.regexp_extract(paths.stem(F.col("final_destination")), r"(_\d+)$", 1)
+    return one.join(settled, "source", "left").select("source", "name", F.when(F.col("final_destination").isNull(), F.col("name")).otherwise(F.concat(stem, counted, suffix)).alias("unique_name"))
+
+
 def name_counters(names: DataFrame) -> DataFrame:
     """Files that want the same name, letter case aside: ``source``, ``name``, ``counter`` (null for the first, then 1, 2, …) by source order."""
     low = names.filter("source is not null and name is not null").select("source", "name", F.lower("name").alias("key")).distinct()

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import dates, names, paths
+from darkroom.operators import collisions
 
+# The columns of an export, in order.
 COLUMNS = [
     "path", "filename", "size_bytes", "extension", "date_taken", "date_source", "year", "month", "target_path", "filename_date", "date_mismatch",
     "date_mismatch_days", "video_metadata_date", "error_category", "source_folder_name", "folder_tags", "folder_tag_reasons", "folder_tag",
@@ -24,16 +26,32 @@ def joined_path(folder: Column, name: Column, path: Column) -> Column:
     return F.when(folder.isNotNull(), F.concat(folder, F.lit("/"), F.coalesce(name, paths.file_name(path))))
 
 
-def plan_operations(files: DataFrame, root: str, structure: str = "YYYY/MM", operation: str = "copy", rename: bool = False, tag_names: bool = False) -> DataFrame:
-    """Every file with its planned operation: dated ones go to their folder, undated ones are skipped with a reason."""
-    path, day = F.col("source_path"), F.col("detected_date")
+def named(dated: DataFrame, rename: bool, tag_names: bool, naming: dict | None = None) -> DataFrame:
+    """Adds ``planned_name``. Renamed files get names by the pattern, unique over the whole plan; a pattern with ``{counter}`` has the counter in its place, else it is appended.
+    ``naming``: pattern, date_format, time_format, tag_format and lowercase_ext of ``names.new_name``."""
+    path, day, naming = F.col("source_path"), F.col("detected_date"), naming or {}
     tag = F.get("folder_tags", F.lit(0)) if tag_names else None
-    name = None
-    if rename:
-        name = names.new_name(path, day, tag)
-    elif tag_names:
-        name = F.when(tag.isNotNull(), names.tagged_name(path, tag)).otherwise(paths.file_name(path))
-    dated = files.filter(day.isNotNull()).select("source_path", F.lit(operation).alias("operation"), dates.full_destination(path, day, root, structure, name).alias("destination_path"), F.lit(None).cast("string").alias("reason"))
+    if not rename:
+        if tag is None:
+            return dated.withColumn("planned_name", paths.file_name(path))
+        tagged = names.tagged_name(path, tag, naming.get("lowercase_ext", True))
+        return dated.withColumn("planned_name", F.when(tag.isNotNull(), tagged).otherwise(paths.file_name(path)))
+    base = dated.withColumn("__base", names.new_name(path, day, tag, **naming))
+    wanted = base.select(path.alias("source"), F.col("__base").alias("name"))
+    if "{counter}" in naming.get("pattern", ""):
+        counters = collisions.name_counters(wanted).groupBy(F.col("source").alias("source_path")).agg(F.max("counter").alias("__counter"))
+        return base.join(counters, "source_path", "left").withColumn("planned_name", names.new_name(path, day, tag, counter=F.col("__counter"), **naming)).drop("__base", "__counter")
+    unique = collisions.unique_names(wanted).select(F.col("source").alias("source_path"), F.col("unique_name").alias("planned_name"))
+    return base.join(unique, "source_path", "left").drop("__base")
+
+
+def plan_operations(
+    files: DataFrame, root: str, structure: str = "YYYY/MM", operation: str = "copy", rename: bool = False, tag_names: bool = False, naming: dict | None = None
+) -> DataFrame:
+    """Every file with its planned operation: dated ones go to their folder, undated ones are skipped with a reason. Names as in ``named``."""
+    path, day = F.col("source_path"), F.col("detected_date")
+    name = F.col("planned_name")
+    dated = named(files.filter(day.isNotNull()), rename, tag_names, naming).select("source_path", F.lit(operation).alias("operation"), dates.full_destination(path, day, root, structure, name).alias("destination_path"), F.lit(None).cast("string").alias("reason"))
     undated = files.filter(day.isNull()).select("source_path", F.lit("skip").alias("operation"), F.lit(None).cast("string").alias("destination_path"), F.lit("No date detected").alias("reason"))
     return dated.unionByName(undated)
 

@@ -45,6 +45,16 @@ def verify(entries: DataFrame, sources: DataFrame, destinations: DataFrame, algo
     return compared.unionByName(moved)
 
 
+def explained(checked: DataFrame, algorithm: str) -> DataFrame:
+    """Adds what a report says of each entry: ``hash_algorithm``, ``match_type``, ``actual_destination_path`` (where a file was found) and ``error``."""
+    status = F.col("status")
+    error = F.when((status == "mismatch") & F.lit(algorithm == "quick"), "Size mismatch").when(
+        status == "error", F.when(F.col("source_hash").isNull(), "Could not compute source hash").otherwise("Could not compute destination hash")
+    )
+    found = F.when(status.isin("ok", "ok_existing_duplicate", "mismatch", "error"), F.col("destination_path"))
+    return checked.withColumns({"hash_algorithm": F.lit(algorithm), "match_type": F.lit("expected_path"), "actual_destination_path": found, "error": error})
+
+
 def search_content(files: DataFrame, destinations: DataFrame) -> DataFrame:
     """Files (path, size_bytes, file_hash) found by content among the destinations: ``path``, ``match`` (the first path with the same lower-case extension,
     size and hash, other than the file itself) or null, and ``status``."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import shutil
 import struct
 import subprocess
@@ -236,20 +237,94 @@ def probe(path: str, command: str = "ffprobe") -> str | None:
     return done.stdout if done.returncode == 0 else None
 
 
+#: Folders in which ffprobe is looked for besides the search path.
+PROBE_FOLDERS = ("/usr/bin", "/usr/local/bin", "/opt/bin", "/opt/ffmpeg/bin", "/usr/local/ffmpeg/bin", "/var/packages/ffmpeg/target/bin")
+
+
+def find_probe(command: str = "ffprobe") -> str | None:
+    """The probe as given, from the search path or from one of the usual folders."""
+    return shutil.which(command) or next((p for folder in PROBE_FOLDERS if os.access(p := os.path.join(folder, os.path.basename(command)), os.X_OK)), None)
+
+
+def probe_version(command: str = "ffprobe") -> str | None:
+    """The first line that the probe says about itself."""
+    found = find_probe(command)
+    if found is None:
+        return None
+    try:
+        done = subprocess.run([found, "-version"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.splitlines()[0] if done.returncode == 0 and done.stdout else None
+
+
 def providers(command: str = "ffprobe") -> dict[str, bool]:
     """Which external readers are there."""
     from importlib.util import find_spec
 
-    return {"ffprobe": shutil.which(command) is not None, "hachoir": find_spec("hachoir") is not None, "builtin": True}
+    return {"ffprobe": find_probe(command) is not None, "hachoir": find_spec("hachoir") is not None, "builtin": True}
 
 
-def _plain_text_date(path: str) -> str | None:
+def probe_tags(text: str) -> dict[str, str]:
+    """Every tag of a probe's JSON: those of the container by their names, those of the streams with the stream's number before them."""
+    data = json.loads(text)
+    out = {k: str(v) for k, v in (data.get("format", {}).get("tags") or {}).items()}
+    for i, stream in enumerate(data.get("streams", [])):
+        out |= {f"stream_{i}_{k}": str(v) for k, v in (stream.get("tags") or {}).items()}
+    return out
+
+
+def _plain_text_tags(path: str) -> dict[str, str]:
+    pairs = (line.lstrip("- ").split(":", 1) for line in _plain_text(path) if ":" in line)
+    return {k.strip(): v.strip() for k, v in pairs if v.strip()}
+
+
+def all_video_metadata(files: DataFrame, provider: str = "ffprobe", command: str = "ffprobe", fallback: bool = True) -> DataFrame:
+    """``path``, ``reader``, ``tags``: everything a reader says about each video file. Readers as in ``read_video_dates``; a file that none understands has an empty map."""
+
+    def one(path: str) -> tuple[str | None, dict[str, str]]:
+        for reader in _readers(provider, command, fallback):
+            try:
+                if reader == "ffprobe":
+                    text = probe(path, find_probe(command))
+                    found = probe_tags(text) if text else {}
+                elif reader == "hachoir":
+                    found = _plain_text_tags(path)
+                else:
+                    date = mvhd_date(path)
+                    found = {"creation_time": date} if date else {}
+            except Exception:  # noqa: BLE001 - a broken file has no metadata
+                continue
+            if found:
+                return reader, found
+        return None, {}
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [one(p) for p in frame["path"]]
+            yield pd.DataFrame({"path": frame["path"], "reader": pd.Series([r for r, _ in made], dtype=object), "tags": [t for _, t in made]})
+
+    return files.select("path").mapInPandas(read, "path string, reader string, tags map<string,string>")
+
+
+def _readers(provider: str, command: str, fallback: bool) -> list[str]:
+    """The readers to try, in order: the one asked for, then, with ``fallback``, hachoir and the built-in one; those that are missing left out."""
+    there = providers(command)
+    order = [provider, *(["hachoir", "builtin"] if fallback else [])]
+    return [r for r in dict.fromkeys(order) if there.get(r)]
+
+
+def _plain_text(path: str) -> list[str]:
     from hachoir.metadata import extractMetadata
     from hachoir.parser import createParser
 
     parser = createParser(path)
     with parser:
-        lines = extractMetadata(parser).exportPlaintext()
+        return extractMetadata(parser).exportPlaintext()
+
+
+def _plain_text_date(path: str) -> str | None:
+    lines = _plain_text(path)
     return next((line.split(":", 1)[1].strip() for line in lines if "date" in line.lower() and ":" in line), None)
 
 
@@ -284,22 +359,23 @@ def read_exif(files: DataFrame) -> DataFrame:
 
 
 def read_video_dates(files: DataFrame, provider: str = "builtin", command: str = "ffprobe", fallback: bool = True) -> DataFrame:
-    """``path``, ``video_date`` of video files; the caller keeps other files out. An external reader that is missing or finds nothing gives way
-    to the built-in one if ``fallback`` is set."""
+    """``path``, ``video_date`` of video files; the caller keeps other files out. A reader that is missing, fails or finds nothing gives way to hachoir, and that to the
+    built-in one, if ``fallback`` is set."""
 
     def one(path: str) -> str | None:
-        text = None
-        try:
-            if provider == "ffprobe" and shutil.which(command):
-                found = probe(path, command)
-                text = probe_json_date(found) if found else None
-            elif provider == "hachoir" and providers()["hachoir"]:
-                text = _plain_text_date(path)
-            if text is None and (fallback or provider == "builtin"):
-                text = mvhd_date(path)
-        except Exception:  # noqa: BLE001 - a broken file has no date
-            return None
-        return text
+        for reader in _readers(provider, command, fallback):
+            text = None
+            try:
+                if reader == "ffprobe":
+                    found = probe(path, find_probe(command))
+                    text = probe_json_date(found) if found else None
+                else:
+                    text = _plain_text_date(path) if reader == "hachoir" else mvhd_date(path)
+            except Exception:  # noqa: BLE001 - a broken file has no date in this reader
+                continue
+            if text is not None:
+                return text
+        return None
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -308,22 +384,36 @@ def read_video_dates(files: DataFrame, provider: str = "builtin", command: str =
     return files.select("path").mapInPandas(read, "path string, text string").select("path", dates.video_date(F.col("text")).alias("video_date"))
 
 
-def read_hashes(files: DataFrame, algorithm: str = "sha256", chunk: int = 1 << 22) -> DataFrame:
-    """``path``, ``file_hash`` of files read in chunks; null where a file cannot be read. Unknown algorithms mean sha256."""
+def read_listing(files: DataFrame, algorithm: str = "sha256", contents: bool = True) -> DataFrame:
+    """``path``, ``size_bytes``, ``file_hash`` of those paths that are files. A file that is there but cannot be read has a null hash; without ``contents`` no file is
+    opened and every hash is null. Null paths and paths that are no files give no row."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, os.path.getsize(p), _digest(p, algorithm) if contents else None) for p in frame["path"] if p and os.path.isfile(p)]
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "file_hash"])
+
+    return files.select("path").filter("path is not null").mapInPandas(read, "path string, size_bytes bigint, file_hash string")
+
+
+def _digest(path: str, algorithm: str, chunk: int = 1 << 22) -> str | None:
     import hashlib
 
-    def one(path: str) -> str | None:
-        digest = hashlib.new(algorithm if algorithm in ("sha256", "md5") else "sha256")
-        try:
-            with open(path, "rb") as f:
-                while block := f.read(chunk):
-                    digest.update(block)
-        except OSError:
-            return None
-        return digest.hexdigest()
+    digest = hashlib.new(algorithm if algorithm in ("sha256", "md5") else "sha256")
+    try:
+        with open(path, "rb") as f:
+            while block := f.read(chunk):
+                digest.update(block)
+    except OSError:
+        return None
+    return digest.hexdigest()
+
+
+def read_hashes(files: DataFrame, algorithm: str = "sha256", chunk: int = 1 << 22) -> DataFrame:
+    """``path``, ``file_hash`` of files read in chunks; null where a file cannot be read. Unknown algorithms mean sha256."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "file_hash": [one(p) for p in frame["path"]]}, dtype=object)
+            yield pd.DataFrame({"path": frame["path"], "file_hash": [_digest(p, algorithm, chunk) for p in frame["path"]]}, dtype=object)
 
     return files.select("path").mapInPandas(read, "path string, file_hash string")

@@ -12,9 +12,10 @@ def arrivals(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def first_arrivals(stream: DataFrame, event_time: str = "ingested_at", delay: str = "1 day", key: str = "file_hash") -> DataFrame:
-    """Each content once within the watermark; state older than the delay is dropped. Null hashes pass as they are one key, so they are kept
-    apart by the caller if wanted."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    """Each content once within the watermark; state older than the delay is dropped. Rows with a null key equal no other and all pass."""
+    marked = stream.withWatermark(event_time, delay)
+    once = marked.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return once.unionByName(marked.filter(F.col(key).isNull()))
 
 
 def daily_counts(stream: DataFrame, event_time: str = "ingested_at", delay: str = "1 day") -> DataFrame:

@@ -119,13 +119,13 @@ def test_apply_verify_clean_up(spark, library, tmp_path, capsys):
     state, out = str(tmp_path / "state"), str(tmp_path / "sorted")
     assert main(["--state", state, "apply", str(library), out], engine) == 0
     assert not os.path.exists(out)
-    assert main(["--state", state, "apply", str(library), out, "--no-dry-run"], engine) == 0
+    assert main(["--state", state, "apply", str(library), out, "--no-dry-run", "--force"], engine) == 0
     made = sorted(os.path.relpath(os.path.join(d, f), out) for d, _, fs in os.walk(out) for f in fs)
     assert "2024/03/a.jpg" in made and "2024/03/a_001.jpg" in made and len(made) == 8  # one copy is skipped
     assert main(["--state", state, "verify", "--last"], engine) == 0
-    assert main(["--state", state, "cleanup", "--last", "--no-dry-run"], engine) == 0
+    assert main(["--state", state, "cleanup", "--last", "--no-dry-run", "--force"], engine) == 0
     assert not (library / "Paris 2024/a.jpg").exists() and (library / "twin/a.jpg").exists()
-    assert main(["--state", state, "apply", str(library), out, "--no-dry-run"], engine) == 0
+    assert main(["--state", state, "apply", str(library), out, "--no-dry-run", "--force"], engine) == 0
     assert "duplicate of existing file" in "".join(p.read_text() for p in (tmp_path / "state/runs").iterdir())
     capsys.readouterr()
 
@@ -220,7 +220,117 @@ def test_streams(spark, data, tmp_path):
     query = incoming.first_arrivals(stream).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         query.processAllAvailable()
-        hashes = spark.sql("select count(*) n, count(distinct coalesce(file_hash, '')) d from arrived").first()
-        assert hashes.n == hashes.d > 0
+        hashes = spark.sql("select count(file_hash) n, count(distinct file_hash) d, count(*) - count(file_hash) without from arrived").first()
+        nulls = spark.read.parquet(f"{data}/file_records.parquet").filter("file_hash is null").count()
+        assert hashes.n == hashes.d > 0 and hashes.without == nulls > 0
     finally:
         query.stop()
+
+
+def _with(**sections):
+    import dataclasses
+
+    base = config.Config()
+    return dataclasses.replace(base, **{name: dataclasses.replace(getattr(base, name), **values) for name, values in sections.items()})
+
+
+def test_configured_names_reach_the_plan(spark, library):
+    def plan(**sections):
+        engine = Engine(spark, _with(**sections))
+        rows = engine.plan(engine.scan(str(library)), "/out").collect()
+        return {r.source_path.rsplit("/library/", 1)[1]: (r.destination_path or "").rsplit("/", 1)[-1] for r in rows}
+
+    got = plan(renaming={"enabled": True, "pattern": "{original}_{date}", "date_format": "%y-%m-%d"})
+    assert got["Paris 2024/a.jpg"] == "a_24-03-15.jpg" and got["twin/a.jpg"] == "a_24-03-15_001.jpg" and got["Paris 2024/b/a.jpg"] == "a_24-03-20.jpg"
+    got = plan(renaming={"enabled": True, "lowercase_extensions": False, "time_format": "%H"})
+    assert got["k=v/c.JPG"] == "20210101_00.JPG"
+    got = plan(renaming={"enabled": True, "tag_part_format": "-{tag}"}, folder_tags={"enabled": True})
+    assert got["Paris 2024/a.jpg"] == "20240315_143000-Paris_2024.jpg"
+    got = plan(renaming={"enabled": True, "pattern": "{date}_n{counter}"})
+    assert got["_u.jpg"].startswith("20240315_n") and len({got["_u.jpg"], got["Paris 2024/a.jpg"], got["twin/a.jpg"]}) == 3
+
+
+def test_unique_names_equal_the_rule_in_sequence(spark):
+    import random
+
+    from darkroom.operators.collisions import unique_names
+
+    rng = random.Random(12)
+    rows = [(f"s{i:03d}", rng.choice(["x.jpg", "X.jpg", "x_001.jpg", "y.JPG", "y_002.jpg", "y", "x_001_001.jpg"])) for i in range(60)] + [(None, "x.jpg"), ("z", None)]
+    used, want = set(), {}
+    for source, name in sorted(r for r in rows if r[0] and r[1]):
+        stem, dot, ext = name.partition(".")
+        new, counter = name, 0
+        while new.lower() in used:
+            counter += 1
+            new = f"{stem}_{counter:03d}{dot}{ext}"
+        used.add(new.lower())
+        want[source] = new
+    assert {r.source: r.unique_name for r in unique_names(spark.createDataFrame(rows, "source string, name string")).collect()} == want
+
+
+def test_quick_verification_and_its_report(spark, library, tmp_path, capsys):
+    engine, state, out = Engine(spark, config.Config()), str(tmp_path / "state"), str(tmp_path / "sorted")
+    assert main(["--state", state, "apply", str(library), out, "--no-dry-run", "--force"], engine) == 0
+    changed = tmp_path / "sorted/2024/03/a.jpg"
+    reports_of = lambda: sorted((tmp_path / "state/verifications").iterdir())
+    assert main(["--state", state, "verify", "--last", "--algorithm", "quick"], engine) == 0
+    document = json.loads(reports_of()[-1].read_text())
+    assert document["hash_algorithm"] == "quick" and document["input_source"] == "run_record" and document["summary"]["ok"] == document["summary"]["total"] == 8
+    assert main(["--state", state, "cleanup", "--last", "--no-dry-run", "--force"], engine) == 0 and (library / "Paris 2024/a.jpg").exists()  # quick is not enough
+    changed.write_bytes(changed.read_bytes() + b"x")
+    runs = records.read_runs(spark, str(tmp_path / "state/runs"))
+    quick = {r.status: (r.error, r.match_type) for r in engine.verify(runs, "quick").collect()}
+    assert quick["mismatch"] == ("Size mismatch", "expected_path") and quick["ok"][0] is None
+    assert {r.status for r in engine.verify(runs).collect()} == {"ok", "mismatch"}
+    changed.unlink()
+    assert "missing_destination" in {r.status for r in engine.verify(runs, "quick").collect()}
+    assert main(["--state", state, "verify", "--run-file", str(tmp_path / "none.json")], engine) == 1
+    assert main(["--state", state, "verify", "--run-file", str(next((tmp_path / "state/runs").iterdir()))], engine) == 0
+    assert main(["--state", state, "cleanup", "--verify-file", str(reports_of()[-1])], engine) == 0  # a dry run by default
+    assert '"bytes_freed"' in capsys.readouterr().out and (library / "Paris 2024/b/a.jpg").exists()
+
+
+def test_actions_that_run_again_find_their_work(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "x/b"
+    a.write_text("1")
+    todo = spark.createDataFrame([(str(a), str(b)), (str(tmp_path / "none"), str(tmp_path / "y")), (None, "z")], "source string, destination string")
+    for _ in range(2):
+        assert sorted(r.ok for r in actions.carry_out(todo).collect()) == [False, False, True]
+    for _ in range(2):
+        assert sorted(r.ok for r in actions.carry_out(todo, move=True).collect()) == [False, False, True] and not a.exists()
+    gone = actions.deletion_totals(actions.delete_files(spark.createDataFrame([(str(b), None), (str(b), None), (str(a), None)], "source string, destination string"), False))
+    assert gone == {"deleted": 1, "skipped": 1, "failed": 0, "bytes_freed": 1, "success_rate": 100.0}
+
+
+def test_commands(spark, library, tmp_path, capsys, monkeypatch):
+    engine, state, out = Engine(spark, config.Config()), str(tmp_path / "state"), str(tmp_path / "sorted")
+    shown = lambda *args: (main(["--state", state, *args], engine), json.loads(capsys.readouterr().out))[1]
+    with pytest.raises(SystemExit):
+        main(["--state", state, "scan", str(tmp_path / "nowhere")], engine)
+    assert len(shown("scan", str(library), "--show", "2")["first_files"]) == 2
+    assert main(["--state", state, "apply", str(library), out, "--no-dry-run"], engine) == 1 and not os.path.exists(out)  # nobody to ask
+    capsys.readouterr()
+    assert shown("apply", str(library), out, "--no-run-record")["record"] is None and not (tmp_path / "state/runs").exists()
+    listed = shown("tags", "list", str(library))
+    assert {t["tag"] for t in listed["tags"]} >= {"Paris_2024"} and {t["folder"]: t["reason"] for t in listed["ignored"]}["tosort"] == "in_ignore_list"
+    files = shown("export", "json", str(library), "--destination", out, "--sample", "2", "--rename", "--structure", "YYYY")["files"]
+    proposed = [f["proposed_target_path"] for f in files if f["proposed_filename"]]
+    assert len(proposed) == 2 and all(p.startswith(f"{out}/2024/2024") or p.startswith(f"{out}/20") for p in proposed) and len(files) == 9
+    assert main(["--state", state, "export", "csv", str(library), "--parts", "--output", str(tmp_path / "parts")], engine) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "parts")).count() == 9
+    probe = tmp_path / "ffprobe"
+    probe.write_text("#!/bin/sh\necho ffprobe version 1"), probe.chmod(0o755)
+    monkeypatch.setattr(metadata, "PROBE_FOLDERS", (str(tmp_path),))
+    monkeypatch.setattr(metadata.shutil, "which", lambda c: None)
+    file = tmp_path / "c.yaml"
+    file.write_text("general: {recursive: true}\n")
+    assert main(["--config", str(file), "doctor", "--fix"]) == 0
+    assert config.load(file).video_metadata.ffprobe_path == str(probe) and "ffprobe version 1" in capsys.readouterr().out
+
+
+def test_everything_a_reader_says(spark, library):
+    assert metadata.probe_tags(json.dumps({"format": {"tags": {"a": 1}}, "streams": [{}, {"tags": {"b": "2"}}]})) == {"a": "1", "stream_1_b": "2"}
+    files = fstree.list_files(spark, str(library)).filter("path like '%.mp4' or path like '%note.txt'")
+    got = {r.path.rsplit("/", 1)[1]: (r.reader, r.tags) for r in metadata.all_video_metadata(files).collect()}
+    assert got["clip.mp4"] == ("builtin", {"creation_time": "2019-12-24 02:40:00"}) and got["note.txt"] == (None, {})
