@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import paths
 from darkroom.operators.ranking import ranked
-from darkroom.session import salted_join
+from darkroom.session import salted_join, stored
 
 #: Up to so many files a group has counters of three or four digits only.
 MOST = 9999
@@ -109,7 +109,7 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, polic
     else:
         groups = groups.withColumns({"disk_files": F.lit(0), "disk_numbered": F.lit(False)})
     groups = groups.select("key", ((F.col("files") > 1) | (F.coalesce("disk_files", F.lit(0)) > 0)).alias("contested"), (F.col("numbered") | F.coalesce("disk_numbered", F.lit(False))).alias("in_sequence"))
-    sorted_out = salted_join(planned.drop("numbered"), groups, ["key"])
+    sorted_out = stored(salted_join(planned.drop("numbered"), groups, ["key"]))  # read by three branches
     if policy == "fail":
         if rows.groupBy("destination").count().filter("count > 1").limit(1).count() or (disk is not None and rows.join(disk, "destination", "left_semi").limit(1).count()):
             raise ValueError("a destination exists or is reserved")

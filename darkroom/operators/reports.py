@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.operators.ranking import ranked
-
 
 def file_measures(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Files, dated and undated ones, bytes, mismatches, duplicates and errors, in one pass."""
@@ -40,7 +38,7 @@ def listing_with_samples(rows: DataFrame, key: str, samples: int = 3) -> DataFra
     """Files per key with the first ``samples`` paths. Null keys and paths are left out; repeated rows count once."""
     one = rows.filter(F.col(key).isNotNull() & F.col("source_path").isNotNull()).select(key, "source_path").distinct()
     counts = one.groupBy(key).agg(F.count(F.lit(1)).alias("files"))
-    first = ranked(one, [key], ["source_path"], "n").filter(F.col("n") <= samples)
+    first = one.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("source_path"))).filter(F.col("n") <= samples)  # each task keeps that many a key before the shuffle
     listed = first.groupBy(key).agg(F.array_sort(F.collect_list("source_path")).alias("samples"))  # at most ``samples`` each
     return counts.join(listed, key)
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.config import Scan
 from darkroom.functions import dates, names, paths, tags
+from darkroom.functions.instants import staged
 from darkroom.operators import collisions, discovery, duplicates, exporting, reports, verification
 from darkroom.session import broadcast_if_small, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-IMAGES = [".jpg", ".jpeg", ".png", ".tiff", ".tif", ".heic", ".heif", ".webp", ".bmp", ".gif"]
-VIDEOS = [".mp4", ".mov", ".avi", ".mkv", ".m4v", ".3gp", ".wmv", ".webm"]
-RAWS = [".cr2", ".nef", ".arw", ".dng", ".orf", ".rw2"]
+IMAGES, VIDEOS, RAWS = (list(kind) for kind in (Scan().image_extensions, Scan().video_extensions, Scan().raw_extensions))
 
 # --- SQL fragments for DuckDB -----------------------------------------------------------------------------------------
 NAME = "regexp_extract(source_path, '([^/]*)$', 1)"
@@ -164,6 +164,23 @@ def q_date_cascade(spark, d):
     return base.select("file_id", best.alias("best")).select("file_id", F.col("best.date").alias("best_date"), F.col("best.source").alias("best_source"))
 
 
+@query("q_deep_date_cascade", _CASCADE.replace(f"{_sql_folder_date(_folder(1))} AS f", f"coalesce({', '.join(_sql_folder_date(_folder(i)) for i in (1, 2, 3))}) AS f"))
+def q_deep_date_cascade(spark, d):
+    """The cascade with the folder date of the nearest of three levels, as a scan takes it."""
+    path = F.col("source_path")
+    base = files(spark, d).select("file_id", "source_path", "video_metadata_date", F.when(F.col("has_exif"), F.col("detected_date")).alias("exif"), file_type(paths.extension(path)).alias("kind"), F.to_utc_timestamp(F.col("ingested_at"), F.current_timezone()).alias("mtime"))
+    base = staged(base, {"folder_date": dates.nearest_folder_date(path), "name_date": dates.filename_date(paths.stem(path))})
+    sources = {
+        "filename": F.col("name_date"),
+        "folder_name": F.col("folder_date"),
+        "exif": F.when(F.col("kind") != "video", F.col("exif")),
+        "video_metadata": F.when(~F.col("kind").isin("image", "raw"), F.col("video_metadata_date")),
+        "filesystem": F.col("mtime").cast("timestamp_ntz"),
+    }
+    best = dates.cascade(sources, list(sources))
+    return base.select("file_id", best.alias("best")).select("file_id", F.col("best.date").alias("best_date"), F.col("best.source").alias("best_source"))
+
+
 def _sql_formats(text: str, formats: list[str]) -> str:
     shapes = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}"}
     codes = {"yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
@@ -361,6 +378,28 @@ def q_collisions_exact(spark, d):
     return collisions.resolve_collisions(plan)
 
 
+_POLICIES = ("check_hash", "rename", "skip")
+_SQL_YEARS = f"""plan AS (SELECT source_path AS source, '/all/' || strftime(detected_date, '%Y') || {EXT} AS destination, min(file_hash) AS file_hash FROM file_records WHERE detected_date IS NOT NULL AND source_path IS NOT NULL GROUP BY 1, 2),
+disk AS (SELECT '/all/' || strftime(filename_date, '%Y') || {EXT} AS destination, min(file_hash) AS disk_hash FROM file_records WHERE filename_date IS NOT NULL AND date_mismatch GROUP BY 1)"""
+
+
+@query("q_collision_policies", f"""WITH {_SQL_YEARS}, h AS (SELECT p.*, d.destination IS NOT NULL AS there, d.disk_hash, first_value(source) OVER w AS fs, first_value(file_hash) OVER w AS fh FROM plan p LEFT JOIN disk d USING (destination) WINDOW w AS (PARTITION BY destination ORDER BY source)),
+o AS (SELECT *, CASE WHEN NOT there AND source = fs THEN 'copy' WHEN policy = 'skip' THEN 'collision skipped' WHEN policy = 'check_hash' AND there AND file_hash = disk_hash THEN 'duplicate of existing file'
+  WHEN policy = 'check_hash' AND NOT there AND file_hash = fh THEN 'duplicate in batch' ELSE 'renamed' END AS outcome FROM h, (SELECT unnest(['check_hash', 'rename', 'skip']) AS policy)),
+r AS (SELECT *, row_number() OVER (PARTITION BY policy, destination, outcome ORDER BY source) AS n FROM o)
+SELECT policy, source, outcome, CASE outcome WHEN 'copy' THEN destination WHEN 'renamed' THEN regexp_replace(destination, '(\\.[^./]+)?$', '') || '_' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || regexp_extract(destination, '(\\.[^./]+)$', 1) END AS final_destination FROM r""")
+def q_collision_policies(spark, d):
+    """Few destinations that a large share of all files want, some of them on disk already, under each policy."""
+    year = lambda day: F.concat(F.lit("/all/"), F.date_format(day, "yyyy"), paths.extension(F.col("source_path")))
+    plan = files(spark, d).filter("detected_date is not null and source_path is not null").select(F.col("source_path").alias("source"), year("detected_date").alias("destination"), "file_hash")
+    disk = files(spark, d).filter("filename_date is not null and date_mismatch").select(year("filename_date").alias("destination"), "file_hash")
+    out = None
+    for policy in _POLICIES:
+        one = collisions.resolve_collisions(plan, disk, policy).select(F.lit(policy).alias("policy"), "source", "outcome", "final_destination")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("q_conflict_counter", f"""WITH n AS (SELECT DISTINCT source_path AS source, {_RENAMED} AS name FROM file_records WHERE source_path IS NOT NULL AND detected_date IS NOT NULL),
 r AS (SELECT source, name, row_number() OVER (PARTITION BY lower(name) ORDER BY source, name) AS k FROM n) SELECT source, name, CASE WHEN k > 1 THEN k - 1 END AS counter FROM r""")
 def q_conflict_counter(spark, d):
@@ -400,6 +439,45 @@ def q_quick_verify(spark, d):
     return verification.verify(_entries(spark, d).select("run_id", "source_path", "destination_path", "operation"), *_listings(spark, d), "quick").groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("entries"))
 
 
+_SIZED = """z AS (SELECT file_hash, min(size_bytes) AS size_bytes FROM file_records WHERE file_hash IS NOT NULL GROUP BY 1),
+t AS (SELECT actual_destination_path AS path, min(z.size_bytes) AS size_bytes, min(destination_hash) AS file_hash FROM verify_entries LEFT JOIN z ON z.file_hash = destination_hash WHERE actual_destination_path IS NOT NULL GROUP BY 1)"""
+
+
+def _sized_destinations(spark: SparkSession, d: str) -> DataFrame:
+    """The verified destinations with the size of the file whose content they have."""
+    sizes = files(spark, d).filter("file_hash is not null").groupBy("file_hash").agg(F.min("size_bytes").alias("size_bytes"))
+    there = table(spark, d, "verify_entries").filter("actual_destination_path is not null").select(F.col("actual_destination_path").alias("path"), F.col("destination_hash").alias("file_hash"))
+    return there.join(sizes, "file_hash", "left").groupBy("path").agg(F.min("size_bytes").alias("size_bytes"), F.min("file_hash").alias("file_hash"))
+
+
+@query("q_sizes_verify", f"""WITH {_SIZED}, e AS (SELECT DISTINCT source_path, expected_destination_path AS destination_path FROM verify_entries), s AS (SELECT source_path AS path, min(size_bytes) AS size_bytes FROM file_records WHERE source_path IS NOT NULL GROUP BY 1)
+SELECT e.source_path, e.destination_path, CASE WHEN s.path IS NULL THEN 'missing_source' WHEN t.path IS NULL THEN 'missing_destination' WHEN s.size_bytes = t.size_bytes THEN 'ok' ELSE 'mismatch' END AS status
+FROM e LEFT JOIN s ON s.path = e.source_path LEFT JOIN t ON t.path = e.destination_path""")
+def q_sizes_verify(spark, d):
+    """Quick verification of every expected copy by sizes."""
+    entries = table(spark, d, "verify_entries").select("source_path", F.col("expected_destination_path").alias("destination_path"), F.lit("copy").alias("operation")).distinct()
+    return verification.verify(entries, _listings(spark, d)[0], _sized_destinations(spark, d), "quick").select("source_path", "destination_path", "status")
+
+
+_EXT_OF = "lower(regexp_extract({}, '[^./](\\.[^./]+)$', 1))"
+
+
+@query("q_found_by_content", f"""WITH {_SIZED}, f AS (SELECT DISTINCT source_path AS path, {_EXT_OF.format('source_path')} AS ext, size_bytes, file_hash FROM file_records WHERE source_path IS NOT NULL)
+SELECT f.path, min(t.path) AS match, CASE WHEN min(t.path) IS NULL THEN 'missing_destination' ELSE 'ok_existing_duplicate' END AS status FROM f LEFT JOIN t ON f.ext = {_EXT_OF.format('t.path')} AND f.size_bytes = t.size_bytes AND f.file_hash = t.file_hash AND f.path <> t.path
+GROUP BY f.path, f.size_bytes, f.file_hash""")
+def q_found_by_content(spark, d):
+    """Every file looked for by content among the verified destinations."""
+    listing = files(spark, d).filter("source_path is not null").select(F.col("source_path").alias("path"), "size_bytes", "file_hash").distinct()
+    return verification.search_content(listing, _sized_destinations(spark, d))
+
+
+@query("q_same_content_elsewhere", f"""WITH {_SIZED}, f AS (SELECT DISTINCT source_path AS path, size_bytes, file_hash FROM file_records WHERE source_path IS NOT NULL)
+SELECT f.path, f.size_bytes, f.file_hash, min(t.path) AS match FROM f JOIN t ON f.size_bytes = t.size_bytes AND f.file_hash = t.file_hash AND f.path <> t.path GROUP BY ALL""")
+def q_same_content_elsewhere(spark, d):
+    listing = files(spark, d).filter("source_path is not null").select(F.col("source_path").alias("path"), "size_bytes", "file_hash").distinct()
+    return duplicates.same_content(listing, _sized_destinations(spark, d)).select("path", "size_bytes", "file_hash", "match")
+
+
 _COUNTS = "count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in verification.STATUSES)
 
 
@@ -584,6 +662,16 @@ def q_csv_rows(spark, d):
     return exporting.csv_rows(files(spark, d)).select("path", "date_taken", "year", "date_mismatch", "date_mismatch_days", "folder_tags", "file_hash")
 
 
+@query("q_csv_all_columns", f"""SELECT path, filename, coalesce(CAST(size_bytes AS VARCHAR), '') AS size_bytes, extension, coalesce(date_taken, '') AS date_taken, coalesce(date_source, '') AS date_source, coalesce(year, '') AS year, coalesce(month, '') AS month,
+ coalesce(target_path, '') AS target_path, coalesce(filename_date, '') AS filename_date, CASE WHEN coalesce(date_mismatch, false) THEN 'True' ELSE 'False' END AS date_mismatch, CASE WHEN coalesce(date_mismatch_days, 0) = 0 THEN '' ELSE CAST(date_mismatch_days AS VARCHAR) END AS date_mismatch_days,
+ coalesce(video_metadata_date, '') AS video_metadata_date, coalesce(error_category, '') AS error_category, coalesce(source_folder_name, '') AS source_folder_name, coalesce(array_to_string(tags, '|'), '') AS folder_tags, coalesce(array_to_string(reasons, '|'), '') AS folder_tag_reasons,
+ coalesce(folder_tag, '') AS folder_tag, coalesce(folder_tag_reason, '') AS folder_tag_reason, CASE WHEN folder_tag_usable THEN 'True' ELSE 'False' END AS folder_tag_usable, coalesce(proposed_destination_folder, '') AS proposed_destination_folder, coalesce(proposed_filename, '') AS proposed_filename,
+ coalesce(proposed_target_path, '') AS proposed_target_path, coalesce(file_hash, '') AS file_hash, CASE WHEN coalesce(is_duplicate, false) THEN 'True' ELSE 'False' END AS is_duplicate, coalesce(duplicate_of, '') AS duplicate_of
+FROM ({_EXPORT.replace(" FROM file_records", ", folder_tags AS tags, folder_tag_reasons AS reasons FROM file_records")})""")
+def q_csv_all_columns(spark, d):
+    return exporting.csv_rows(files(spark, d))
+
+
 @query("q_json_rows")
 def q_json_rows(spark, d):
     return exporting.json_rows(files(spark, d))
@@ -603,6 +691,16 @@ def q_rule_upsert(spark, d):
     return discovery.upsert_rules(rules.select("folder_name", "decision", "alias"), changes)
 
 
+@query("q_rule_changes", f"""WITH c AS (SELECT DISTINCT source_folder_name AS folder_name, CASE WHEN {_USABLE} THEN 'use' ELSE 'ignore' END AS decision, NULL AS alias FROM file_records WHERE source_folder_name IS NOT NULL)
+SELECT folder_name, decision, alias FROM tag_rules WHERE folder_name NOT IN (SELECT folder_name FROM c) UNION ALL SELECT folder_name, decision, alias FROM c""")
+def q_rule_changes(spark, d):
+    """The rules after every folder name of the library has been decided anew; most of them have no rule yet."""
+    names_seen = files(spark, d).filter("source_folder_name is not null").select(F.col("source_folder_name").alias("folder_name")).distinct()
+    decided = F.when(tags.classify_folder(F.col("folder_name"))["usable"], "use").otherwise("ignore")
+    changes = names_seen.select("folder_name", decided.alias("decision"), F.lit(None).cast("string").alias("alias"))
+    return discovery.upsert_rules(table(spark, d, "tag_rules").select("folder_name", "decision", "alias"), changes)
+
+
 @query("q_file_op_checks", """SELECT entry_id, CASE WHEN s.source_path IS NULL THEN 'source does not exist' WHEN t.p IS NOT NULL THEN 'destination already exists' ELSE 'ready' END AS verdict FROM verify_entries v
 LEFT JOIN (SELECT DISTINCT source_path FROM file_records) s ON s.source_path = v.source_path LEFT JOIN (SELECT DISTINCT actual_destination_path AS p FROM verify_entries WHERE actual_destination_path IS NOT NULL) t ON t.p = v.expected_destination_path""")
 def q_file_op_checks(spark, d):
