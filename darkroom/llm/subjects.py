@@ -194,10 +194,14 @@ def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects:
         matcher = Matcher(seeds, strong, thresholds)
         for batch in batches:
             seen: dict[str, Counter] = {}
-            for line in batch.column(0).flatten().to_pylist():
+            for line, times in Counter(batch.column(0).flatten().to_pylist()).items():
                 by = seen.setdefault(matcher.sure(line), Counter())
-                by.update(set(line.split()))
-                by[""] += 1
+                if times == 1:
+                    by.update(set(line.split()))
+                else:  # small talk recurs
+                    for term in set(line.split()):
+                        by[term] += times
+                by[""] += times
             keys = [(t, label, n) for label, by in seen.items() for t, n in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())], names=["term", "label", "n"])
 
