@@ -4,36 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkroom.session import stored
 
-def suffixes(df: DataFrame, record: str, tokens: str, max_n: int) -> DataFrame:
-    """Every token position of every record with the next ``max_n`` tokens (fewer at the end): record, ``t1`` … ``tN``.
 
-    Null tokens and empty tokens end nothing and count as absent: they are removed before positions are taken.
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two arrays; 0 if one is null."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    return F.when(a.isNull() | b.isNull(), 0).when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
+
+
+def suffixes(df: DataFrame, record: str, tokens: str) -> DataFrame:
+    """Every distinct suffix of the token lists, whole: ``suffix``, ``shared``, ``occurrences``, ``records``.
+
+    Null tokens and empty tokens are removed first. Within a record suffixes are put in order and each is compared with the one before it: ``shared`` is the length of
+    their common prefix, so up to that depth it is a within-record duplicate of its neighbour. Equal suffixes with equal ``shared`` are one row: ``occurrences`` counts them all,
+    ``records`` once a record. Rows are added up before they are moved, so neither a term nor a record that makes up a third of all rows is a large group anywhere but in
+    its distinct suffixes.
     """
     kept = F.filter(F.col(tokens), lambda t: t.isNotNull() & (t != ""))
     listed = df.select(F.col(record).alias("record"), kept.alias("tokens"))
-    if max_n == 1:
-        return listed.select("record", F.explode("tokens").alias("t1"))
-    positions = listed.select("record", "tokens", F.posexplode("tokens").alias("at", "t1"))
-    return positions.select("record", "t1", *[F.get("tokens", F.col("at") + F.lit(n - 1)).alias(f"t{n}") for n in range(2, max_n + 1)])
+    every = listed.select("record", "tokens", F.posexplode("tokens").alias("at", "token")).select("record", F.slice("tokens", F.col("at") + 1, F.size("tokens")).alias("suffix"))
+    once = every.groupBy("record", "suffix").agg(F.count(F.lit(1)).alias("times"))
+    in_record = Window.partitionBy("record").orderBy("suffix")
+    known = once.filter(F.col("record").isNotNull()).withColumn("shared", common_prefix(F.col("suffix"), F.lag("suffix").over(in_record)))
+    both = known.select("suffix", "shared", "times", F.lit(1).alias("one")).unionByName(once.filter(F.col("record").isNull()).select("suffix", F.lit(0).alias("shared"), "times", F.lit(0).alias("one")))
+    return both.groupBy("suffix", "shared").agg(F.sum("times").alias("occurrences"), F.sum("one").alias("records"))
 
 
-def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int = 1) -> DataFrame:
-    """Occurrences and records of every n-gram of length 1 … ``max_n`` over token lists.
+def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int | None = 1) -> DataFrame:
+    """Occurrences and records of every n-gram of length 1 … ``max_n`` (null: of every length) over token lists.
 
-    Method: all suffixes (cut to ``max_n`` tokens, which is as deep as any wanted n-gram) are range-partitioned and sorted by (suffix,
-    record) — a suffix array laid over the partitions. In one pass over it the length of the common prefix with the row before is
-    taken; the rows between two places where that length falls below n form the interval of one n-gram. Its length is the number of
-    occurrences; its number of records is that length less the within-record duplicates. At the full depth duplicates are neighbours in
-    the array. At a smaller depth they are found within the interval, except where the interval crosses a batch or partition border;
-    such intervals hand on their distinct (n-gram, record) pairs and are finished by one aggregation. Because the record is part of the
-    sort key, a term that makes up a third of all rows spreads over many partitions, and what leaves a partition is one partial
-    count per n-gram.
+    Method: the distinct suffixes of all lists, whole, with their multiplicities (``suffixes``) are range-partitioned and sorted — a suffix array laid over the partitions. One pass over
+    it takes the length of the common prefix with the suffix before; the suffixes between two places where that length falls below n form the interval of one n-gram. The
+    interval's occurrences are its number of occurrences; its records are those less the within-record duplicates, the suffixes that share n tokens or more with their neighbour in
+    the same record. Intervals that cross a partition border are added up at the end.
 
     Result: ``ngram`` (array of its tokens), ``n``, ``occurrences``, ``records``.
 
@@ -41,60 +49,44 @@ def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int = 1) -> Dat
     are one record, however many rows it has; rows with a null record count as occurrences but as no record; an empty table gives an
     empty result; other columns are ignored.
     """
-    names = [f"t{n}" for n in range(1, max_n + 1)]
-    rows = suffixes(df, record, tokens, max_n).withColumn("record", F.col("record").cast("string"))
-    array = rows.repartitionByRange(*names, "record").sortWithinPartitions(*names, "record").select(*names, "record")
+    array = stored(suffixes(df, record, tokens)).repartitionByRange("suffix", "shared").sortWithinPartitions("suffix", "shared")
 
     def intervals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        open_now: list[list[int]] = []  # occurrences and records of the interval of each depth
+        last: list[str] = []
+        out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def close(depth: int) -> None:
+            while len(open_now) > depth:
+                occurrences, records = open_now.pop()
+                for column, value in zip(out, (last[: len(open_now) + 1], len(open_now) + 1, occurrences, records), strict=True):
+                    column.append(value)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, _PARTIAL.types, strict=True)], schema=_PARTIAL)
+            for column in out:
+                column.clear()
+            return batch
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(max_n)]
-            record_of = batch.column(max_n).to_numpy(zero_copy_only=False)
-            known = np.array([r is not None for r in record_of])
-            before = last or (None,) * (max_n + 1)
-            equal = [_equal_to_previous(c, before[i], last is not None) for i, c in enumerate(columns)]
-            same_record = _equal_to_previous(record_of, before[max_n], last is not None)
-            prefix = np.ones(batch.num_rows, bool)  # the common prefix reaches n
-            out: dict[str, list] = {"ngram": [], "n": [], "occurrences": [], "records": [], "record": []}
-            for n in range(1, max_n + 1):
-                prefix = prefix & equal[n - 1]
-                full = np.array([v is not None for v in columns[n - 1]]) if n > 1 else np.ones(batch.num_rows, bool)
-                starts = np.flatnonzero(~prefix | (np.arange(batch.num_rows) == 0))
-                ends = np.append(starts[1:], batch.num_rows)
-                duplicate = prefix & same_record if n == max_n else None
-                for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    if not full[a]:
-                        continue
-                    gram = [columns[i][a] for i in range(n)]
-                    if duplicate is not None:
-                        records, handed = int((known[a:b] & ~duplicate[a:b]).sum()), ()
-                    elif k == 0 or k == len(starts) - 1:
-                        records, handed = 0, {r for r in record_of[a:b] if r is not None}
-                    else:
-                        records, handed = len({r for r in record_of[a:b] if r is not None}), ()
-                    out["ngram"].append(gram), out["n"].append(n), out["occurrences"].append(b - a), out["records"].append(records), out["record"].append(None)
-                    for r in handed:
-                        out["ngram"].append(gram), out["n"].append(n), out["occurrences"].append(0), out["records"].append(0), out["record"].append(r)
-            last = (*[c[-1] for c in columns], record_of[-1])
-            yield pa.RecordBatch.from_pydict(out, schema=_PARTIAL)
-
-    partial = array.mapInArrow(intervals, "ngram array<string>, n int, occurrences bigint, records bigint, record string")
-    if max_n > 1:  # pairs handed on by intervals that cross a border
-        pairs = partial.groupBy("ngram", "n", "record").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        partial = pairs.select("ngram", "n", "occurrences", (F.col("records") + F.col("record").isNotNull().cast("bigint")).alias("records"))
+            for suffix, shared, occurrences, records in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                depth = len(suffix) if max_n is None else min(len(suffix), max_n)
+                prefix = next((i for i, (x, y) in enumerate(zip(last, suffix, strict=False)) if x != y), min(len(last), len(suffix)))
+                close(prefix)
+                open_now += [[0, 0] for _ in range(depth - len(open_now))]
+                for n in range(depth):
+                    open_now[n][0] += occurrences
+                    open_now[n][1] += records if shared <= n else 0
+                last = suffix
+            yield flush()
+        close(0)
+        yield flush()
+
+    partial = array.select("suffix", "shared", "occurrences", "records").mapInArrow(intervals, "ngram array<string>, n int, occurrences bigint, records bigint")
     return partial.groupBy("ngram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-_PARTIAL = pa.schema([("ngram", pa.list_(pa.string())), ("n", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64()), ("record", pa.string())])
-
-
-def _equal_to_previous(values: np.ndarray, before: object, has_before: bool) -> np.ndarray:
-    out = np.empty(len(values), bool)
-    out[0] = has_before and values[0] == before
-    out[1:] = values[1:] == values[:-1]
-    return out
+_PARTIAL = pa.schema([("ngram", pa.list_(pa.string())), ("n", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
 def mark_by_records(counts: DataFrame, total: Column, rare_below: int, common_above: float) -> Column:
