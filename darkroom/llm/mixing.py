@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.session import materialise
+from darkroom.session import salted_join, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def token_counts(docs: DataFrame, doc_id: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id``, ``source``, ``tokens`` of every document, by a public tokenizer's vocabulary file. Null texts have no tokens."""
+    """``doc_id``, ``source``, ``tokens`` of every document, by a public tokenizer's vocabulary file, which the driver sends to the executors. Null texts have no tokens."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from pyspark import SparkFiles
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
+        encoder = Tokenizer.from_file(SparkFiles.get(name))
         encoder.encode_special_tokens = True
         for batch in batches:
             for small in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -59,25 +62,32 @@ def draw(counts: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     """The mixture: ``doc_id``, ``source``, ``tokens``, ``copy`` (1, 2, …).
 
     Each document comes floor(rate) times, and once more with probability rate − floor(rate), decided by a hash of seed and id: the
-    same documents are drawn whatever the partitioning, also when a task is run again. The rates are joined by a broadcast (one row a source),
-    so a source with a third of all rows is not gathered.
+    same documents are drawn whatever the partitioning, also when a task is run again. The rates are a row a source and stored, so their size is measured before they
+    are broadcast, and a source with a third of all rows is not gathered.
     """
-    joined = counts.join(F.broadcast(rates.select("source", "rate")), "source")
+    joined = salted_join(counts, rates.select("source", "rate"), ["source"])
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     whole = F.floor("rate")
     times = (whole + (chance < F.col("rate") - whole).cast("bigint")).cast("int")
     return joined.withColumn("copies", times).filter("copies > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
+def mixture_records(docs: DataFrame, doc_id: str, drawn: DataFrame) -> DataFrame:
+    """The drawn documents themselves, every column, one row a copy, with ``copy``. An id that stands in several rows brings each of them. Null ids are not drawn."""
+    copies = drawn.groupBy("doc_id").agg(F.max("copy").alias("__copies"))
+    joined = docs.join(copies, docs[doc_id] == copies["doc_id"]).select(*[docs[c] for c in docs.columns], "__copies")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+
+
 def mix(docs: DataFrame, doc_id: str, source: str, text: str, targets: DataFrame, size: float | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). Tokens are counted once, over whole texts of all documents, and stored. The report has per target the rate and the drawn
     documents, copies, tokens and ``actual_share``."""
-    counts = materialise(token_counts(docs, doc_id, source, text, tokenizer))
-    rates = mixing_rates(counts, targets, size)
+    counts = stored(token_counts(docs, doc_id, source, text, tokenizer))
+    rates = stored(mixing_rates(counts, targets, size))
     drawn = draw(counts, rates, seed)
     got = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("drawn_copies"), F.max("copy").alias("most_copies"), F.sum("tokens").alias("drawn_tokens"))
     total = got.agg(F.sum("drawn_tokens").alias("all_drawn"))
-    report = rates.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(total))
+    report = rates.join(got, "source", "left").crossJoin(F.broadcast(total))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return drawn, report.select(
         "source", "target_share", "wanted_share", "max_repeats", "documents", "tokens", "rate", zero("drawn_copies"), zero("most_copies"), zero("drawn_tokens"),

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from darkroom.llm.leakage import STRETCH, find_passages, find_phrases, inverted_index, leaked_items, longest_in_order, words
-from darkroom.llm.mixing import TOKENIZER, mix, mixing_rates, token_counts
+from darkroom.llm.mixing import TOKENIZER, mix, mixing_rates, mixture_records, token_counts
 from darkroom.llm.posts import own_text, sentences
 from darkroom.llm.subjects import assign_subjects, composition
 
@@ -179,6 +179,8 @@ def test_mixture_reaches_its_shares(spark):
         assert abs(by[s].actual_share - want) < 0.03 and by[s].rate <= caps[s] + 1e-9
         assert by[s].drawn_copies == sum(n for (x, _), n in copies.items() if x == s)
     assert by["absent"].actual_share == 0 and by["absent"].rate == 0
+    records = mixture_records(docs, "doc_id", drawn).collect()
+    assert Counter((r.source, r.doc_id) for r in records) == copies and {r.text for r in records} == {"word " * 10}
     again, _ = mix(docs.repartition(7), "doc_id", "source", "text", targets)
     assert Counter((r.source, r.doc_id) for r in again.collect()) == copies
 
