@@ -5,15 +5,15 @@ from __future__ import annotations
 import html
 import re
 
-import regex
-
-_QUOTE = regex.compile(r"\[quote(?:=[^\]]*)?\](?:(?!\[quote(?:=[^\]]*)?\]|\[/quote\]).)*\[/quote\]", regex.S | regex.I)
-_BLOCK = regex.compile(r"<blockquote[^>]*>(?:(?!<blockquote).)*?</blockquote>", regex.S | regex.I)
-_MARKED_LINE = regex.compile(r"^[ \t]*(?:>|&gt;|»).*$", regex.M)
-_ATTRIBUTION = regex.compile(r"^[^\n]{0,80}\b(?:wrote|writes|said|schrieb|escribió|dijo):[ \t]*$", regex.M | regex.I)
-_SIGNATURE = regex.compile(r"(?:^|\n)(?:-- ?|_{3,}|={3,}|\*{3,})[ \t]*\n|<hr ?/?>|(?:^|\n)(?=~{2,}[^\n]*~{2,}\s*$)", regex.I)
-_BREAK_TAG = regex.compile(r"<(?:br|p|/p|div|/div|li|/li|hr)\b[^<>]*>", regex.I)
-_TAG = regex.compile(r"</?[A-Za-z][^<>]*>|\[img\][^\[]*\[/img\]|\[/?[A-Za-z]+(?:=[^\[\]]*)?\]", regex.I)
+_QUOTE = re.compile(r"\[quote(?:=[^\]]*)?\](?:(?!\[quote(?:=[^\]]*)?\]|\[/quote\]).)*\[/quote\]", re.S | re.I)
+_BLOCK = re.compile(r"<blockquote[^>]*>(?:(?!<blockquote).)*?</blockquote>", re.S | re.I)
+_MARKED_LINE = re.compile(r"^[ \t]*(?:>|&gt;|»).*$", re.M)
+_ATTRIBUTION = re.compile(r"^[^\n]{0,80}\b(?:wrote|writes|said|schrieb|escribió|dijo):[ \t]*$", re.M | re.I)
+_SIGNATURE = re.compile(r"(?:^|\n)(?:-- ?|_{3,}|={3,}|\*{3,})[ \t]*\n|<hr ?/?>|(?:^|\n)(?=~{2,}[^\n]*~{2,}\s*$)", re.I)
+_BREAK_TAG = re.compile(r"<(?:br|p|/p|div|/div|li|/li|hr)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|\[img\][^\[]*\[/img\]|\[/?[A-Za-z]+(?:=[^\[\]]*)?\]", re.I)
+#: A closing line without full stop and of more words is a sentence that was left unfinished, not a signature.
+SIGNATURE_WORDS = 10
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n\s*\n")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _ENDED = re.compile(r"[.!?…:)\"'>]$")
@@ -44,7 +44,8 @@ def own_text(text: str) -> str:
     if body and "\n" not in bare and " " in bare and not _ENDED.search(bare) and not _INTERJECTION.match(_NOTE.sub("", bare)):
         plain = _TAG.sub(" ", _BREAK_TAG.sub("\n\n", last))
         begin = max((m.end() for m in _SENTENCE_END.finditer(plain) if plain[m.end() :].strip()), default=0)
-        text = "\n\n".join([*body, plain[:begin]])  # a closing line that is no sentence; the sentences before it stay
+        if len(plain[begin:].split()) <= SIGNATURE_WORDS:
+            text = "\n\n".join([*body, plain[:begin]])  # a closing line that is no sentence; the sentences before it stay
     return text
 
 

@@ -109,7 +109,7 @@ class Matcher:
 
     def _judged(self, line: str) -> tuple[list[str], bool]:
         found = self.hits(line)
-        subjects = self.subjects(line, found)
+        subjects = self.subjects(line, found) if found else []
         if not subjects:
             return subjects, False
         terms = {t for t, by in found.items() if subjects[0] in by}
@@ -168,14 +168,17 @@ def calibrated(examples: list[tuple[str, str | None]], subjects: list[str], shar
     """The thresholds at which the labelled examples come out best (F1): each half is judged by terms of the other half. Ties go to the pair nearest the middle of both lists."""
     halves = [[x for i, x in enumerate(examples) if i % 2 == h] for h in (0, 1)]
     lines = [[([padded(x) for x in sentences(text)], subject) for text, subject in half] for half in halves]
+    seeds = [seed_weights(half, subjects) for half in halves]
+    matchers = [Matcher(s, strong_seeds(half, s), (0.0, 0.0)) for half, s in zip(halves, seeds, strict=True)]
     middle = lambda values, v: abs(values.index(v) - (len(values) - 1) / 2)
     best: tuple | None = None
     for threshold in SENTENCE_THRESHOLDS:
         for margin in SENTENCE_MARGINS:
             right = wrong = 0
             for h in (0, 1):
-                seeds = seed_weights(halves[1 - h], subjects)
-                matcher = Matcher(seeds, strong_seeds(halves[1 - h], seeds), (threshold, margin))
+                matcher = matchers[1 - h]
+                matcher.threshold, matcher.margin = threshold, margin
+                matcher.known.clear()
                 for own, subject in lines[h]:
                     got = {s for s, (n, total) in post_subjects(matcher, own).items() if n >= share * total}
                     right += 2 * (subject in got)
@@ -223,6 +226,8 @@ def strong_terms(weights: Weights, least: float = STRONG_WEIGHT) -> set[str]:
 def post_subjects(matcher: Matcher, lines: list[str]) -> dict[str, tuple[int, int]]:
     """Own sentences about each subject, and all own sentences."""
     own = [matcher.judged(line) for line in lines]
+    if not any(found for found, _ in own):
+        return {}
     clear = Counter(found[0] for found, firm in own if firm and len(found) == 1)
     about: Counter = Counter()
     for found, firm in own:
