@@ -17,6 +17,8 @@ from darkroom.session import salted_join, spread, stored
 #: A name stands for an entry only from this cosine on, and only if it is so far ahead of every other entry that the name agrees with.
 COSINE_THRESHOLD = 0.2
 MARGIN = 0.02
+#: Entries below this share of a name's best cosine are no candidates: they can neither be what the name stands for nor nearer to a part of it.
+NEAR = 1 / 3
 #: Lengths of the character n-grams.
 GRAMS = (2, 3)
 UNREAD_WORD = 0.7
@@ -305,7 +307,9 @@ def map_to_events(values: DataFrame, value: str, rules: DataFrame) -> DataFrame:
     met = sized.select("form", "size2", F.explode("grams").alias("gram")).join(index, "gram").select("form", "size2", "w2", F.explode("entries").alias("e"))
     common = met.groupBy("form", "size2", "e.entry", "e.norm2").agg(F.sum("w2").alias("dot"))  # lies together by form already
     scored = common.select("form", "entry", (F.col("dot") / F.sqrt(F.col("size2") * F.col("norm2"))).alias("cosine")).filter(F.col("cosine") >= COSINE_THRESHOLD)
-    described = scored.join(entries.drop("grams"), "entry")
+    ranked = scored.groupBy("form").agg(F.max("cosine").alias("best"), F.collect_list(F.struct("cosine", "entry")).alias("all"))
+    near = ranked.select("form", F.explode(F.filter("all", lambda c: c["cosine"] >= F.col("best") * NEAR)).alias("c")).select("form", "c.cosine", "c.entry")
+    described = near.join(entries.drop("grams"), "entry")
     candidates = described.groupBy("form").agg(F.collect_list(F.struct("cosine", "entry", "place", "occasion", "written", "alias", "rules")).alias("candidates"))
 
     def accept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

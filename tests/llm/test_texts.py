@@ -256,7 +256,7 @@ def test_held_out_examples(spark, data):
 def test_interjections_are_sentences():
     assert sentences("lol Any news on this? +1 :-) Fair enough.") == ["lol", "Any news on this?", "+1", ":-)", "Fair enough."]
     assert sentences("I agree.\n\nEdit: lol") == ["I agree.", "Edit: lol"] and sentences("Lollipops are fine. Plus +12 more.") == ["Lollipops are fine.", "Plus +12 more."]
-    assert sentences("I agree.\n\n" + "an unfinished sentence of more words than any signature has would stay here") [1:] != []
+    assert len(sentences("I agree.\n\nan unfinished sentence of more words than any signature has stays here")) == 2
     assert sentences("Is it new? That answer helped.") == ["Is it new?", "That answer helped."]
 
 
