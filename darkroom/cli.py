@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import json
+import logging
+import logging.handlers
 import sys
 from pathlib import Path
 
@@ -17,6 +19,24 @@ from darkroom.operators import discovery, reports
 from darkroom.sources import metadata, records
 
 
+def set_up_logging(section: configuration.Logging) -> logging.Logger:
+    """The logger ``darkroom``: warnings and worse to standard error, everything from the configured level on to a file that is turned over at 10 MB, five times."""
+    log = logging.getLogger("darkroom")
+    log.setLevel(section.level.upper())
+    for handler in list(log.handlers):
+        log.removeHandler(handler)
+    screen = logging.StreamHandler()
+    screen.setLevel(logging.WARNING)
+    screen.setFormatter(logging.Formatter("%(levelname)s %(message)s"))
+    log.addHandler(screen)
+    if section.log_to_file:
+        Path(section.file_path).parent.mkdir(parents=True, exist_ok=True)
+        file = logging.handlers.RotatingFileHandler(section.file_path, maxBytes=10 << 20, backupCount=5, encoding="utf-8", delay=True)
+        file.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+        log.addHandler(file)
+    return log
+
+
 def _override(cfg: configuration.Config, section: str, **values: object) -> configuration.Config:
     given = {k: v for k, v in values.items() if v is not None}
     return dataclasses.replace(cfg, **{section: dataclasses.replace(getattr(cfg, section), **given)}) if given else cfg
@@ -127,6 +147,10 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
         print(error, file=sys.stderr)
         return 2
     state = Path(args.state or cfg.verify.state_dir)
+    if args.state:
+        cfg = _override(cfg, "logging", file_path=str(state / "darkroom.log"))
+    log = set_up_logging(cfg.logging)
+    log.info("command %s", args.command)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=2, default=str))
     if args.command == "version":
         print(darkroom.__version__)
@@ -187,6 +211,8 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
         record = engine.apply(args.source, args.destination, dry, args.move, str(state), False if args.no_run_record else None)
         counts = reports.as_map(record.planned.groupBy("operation").agg(F.count(F.lit(1)).alias("files")), "operation")
         head = record.planned.orderBy("source_path").select("source_path", "operation", "destination_path", "reason").limit(args.show)
+        for r in record.results.filter("not ok").toLocalIterator() if record.failed else ():
+            log.error("%s: %s", r["source"], r["message"])
         show({"record": record.path, "operations": counts, "failed": record.failed, "first_operations": [r.asDict() for r in head.collect()]})
         return int(bool(record.failed))
     elif args.command == "verify" and args.reconstruct:

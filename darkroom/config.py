@@ -8,13 +8,13 @@ from pathlib import Path
 from typing import Any
 
 from darkroom.functions.dates import DEFAULT_PRIORITY, FOLDER_STRUCTURES
-from darkroom.functions.tags import IGNORED_FOLDERS
 
 
 class ConfigError(Exception):
     """A configuration file is missing, unreadable or not valid YAML."""
 
 
+# Sections, keys and defaults of a configuration file.
 @dataclass(frozen=True)
 class General:
     recursive: bool = True
@@ -71,7 +71,10 @@ class FolderTags:
     tag_format: str = "{tag}"
     min_length: int = 3
     max_length: int = 40
-    ignore_list: tuple[str, ...] = tuple(IGNORED_FOLDERS[:16])
+    # Folder names that are no tags by default.
+    ignore_list: tuple[str, ...] = (
+        "tosort", "unsorted", "misc", "backup", "temp", "tmp", "download", "downloads", "dcim", "camera", "pictures", "photos", "images", "100apple", "100andro", "camera roll",
+    )
     force_list: tuple[str, ...] = ()
     auto_detect: bool = True
     distance_check: bool = True

@@ -40,6 +40,7 @@ FILENAME_PATTERNS = [
 # Formats of embedded dates.
 EXIF_FORMATS = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy:MM:dd HH:mm", "yyyy-MM-dd HH:mm"]
 VIDEO_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd"]
+# The usual order of date sources, and the folder structures.
 DEFAULT_PRIORITY = ["exif", "video_metadata", "filename", "filesystem", "folder_name"]
 FOLDER_STRUCTURES = {"YYYY": "yyyy", "YYYY/MM": "yyyy/MM", "YYYY/MM/DD": "yyyy/MM/dd"}
 

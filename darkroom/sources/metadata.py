@@ -24,6 +24,7 @@ PROBE_FIELDS = ["creation_time", "com.apple.quicktime.creationdate", "date", "da
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 EXIF_SCHEMA = "path string, make string, model string, orientation int, width int, height int, date_taken_text string, date_original_text string, date_digitised_text string, raw map<string,string>, exif_error string"
 BLOCK = 1 << 16
+LARGEST_TAG = 4096
 
 
 class Part:
@@ -58,7 +59,8 @@ def _up_to_zero(data: bytes | Part, at: int, end: int) -> bytes:
 
 
 def tiff_tags(data: bytes | Part) -> dict[str, str]:
-    """The wanted tags of a TIFF block, those of the EXIF directory included. Broken offsets end the reading quietly."""
+    """The tags of a TIFF block, those of the EXIF directory included: the wanted ones by name, others by number as ``0x9286``, values of over ``LARGEST_TAG`` bytes (previews,
+    maker notes) left out. Broken offsets end the reading quietly."""
     if data[:2] not in (b"II", b"MM"):
         return {}
     order = "<" if data[:2] == b"II" else ">"
@@ -79,12 +81,12 @@ def tiff_tags(data: bytes | Part) -> dict[str, str]:
             where = entry + 8 if size <= 4 else _numbers(order + "I", data, entry + 8)[0]
             if tag == 0x8769:
                 todo.append(_numbers(order + "I", data, entry + 8)[0])
-            elif tag in TAGS and size and where + size <= len(data):
+            elif size and where + size <= len(data) and (tag in TAGS or size <= LARGEST_TAG):
                 if kind == 2:
                     value = _up_to_zero(data, where, where + n).decode("latin-1").strip()
                 else:
                     value = str(_numbers(order + {3: "H", 4: "I"}.get(kind, "B"), data, where)[0])
-                out.setdefault(TAGS[tag], value)
+                out.setdefault(TAGS.get(tag, f"0x{tag:04x}"), value)
     return out
 
 

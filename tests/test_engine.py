@@ -329,6 +329,20 @@ def test_commands(spark, library, tmp_path, capsys, monkeypatch):
     assert config.load(file).video_metadata.ffprobe_path == str(probe) and "ffprobe version 1" in capsys.readouterr().out
 
 
+def test_logging(tmp_path):
+    from darkroom.cli import set_up_logging
+
+    log = set_up_logging(config.Logging(level="info", file_path=str(tmp_path / "logs/x.log")))
+    log.debug("no"), log.info("a file"), log.handlers[1].flush()
+    assert "INFO darkroom a file" in (tmp_path / "logs/x.log").read_text() and "no" not in (tmp_path / "logs/x.log").read_text().split()
+    assert len(set_up_logging(config.Logging(log_to_file=False)).handlers) == 1
+
+
+def test_all_tags_are_kept():
+    block = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) + struct.pack("<HHIHH", 0x0128, 3, 1, 2, 0) + struct.pack("<I", 0)
+    assert metadata.tiff_tags(block) == {"orientation": "6", "0x0128": "2"}
+
+
 def test_everything_a_reader_says(spark, library):
     assert metadata.probe_tags(json.dumps({"format": {"tags": {"a": 1}}, "streams": [{}, {"tags": {"b": "2"}}]})) == {"a": "1", "stream_1_b": "2"}
     files = fstree.list_files(spark, str(library)).filter("path like '%.mp4' or path like '%note.txt'")
