@@ -26,6 +26,8 @@ PURE_TERM, COMMON = 2.6, 50
 #: A term of an example about no subject counts only if this share of its sentences is of one subject.
 IDLE_PURITY = 0.9
 STRONG_WEIGHT, LABEL_WEIGHT = 2.3, 2.0
+#: Shorter words are often function words (scatters *off*, 20 % *off*) and are no evidence on their own.
+STRONG_LENGTH = 4
 PASSES = 2
 #: A term counts from so many own sentences on, whatever the size of the corpus.
 LEAST_COUNT = 5
@@ -149,7 +151,7 @@ def strong_seeds(examples: list[tuple[str, str | None]], seeds: Weights) -> set[
     for text, subject in examples:
         for term in set(terms_of(text)) & set(seeds):
             labels.setdefault(term, []).append(subject)
-    return {t for t, found in labels.items() if len(found) >= 3 and len(set(found)) == 1}
+    return {t for t, found in labels.items() if len(found) >= 3 and len(set(found)) == 1 and len(t) >= STRONG_LENGTH}
 
 
 def own_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -220,7 +222,7 @@ def corpus_weights(posts: DataFrame, seeds: Weights, strong: set[str], subjects:
 
 
 def strong_terms(weights: Weights, least: float = STRONG_WEIGHT) -> set[str]:
-    return {t for t, by in weights.items() if max(by.values()) >= least}
+    return {t for t, by in weights.items() if max(by.values()) >= least and len(t) >= STRONG_LENGTH}
 
 
 def post_subjects(matcher: Matcher, lines: list[str]) -> dict[str, tuple[int, int]]:
