@@ -325,6 +325,7 @@ def test_commands(spark, library, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(metadata.shutil, "which", lambda c: None)
     file = tmp_path / "c.yaml"
     file.write_text("general: {recursive: true}\n")
+    monkeypatch.chdir(tmp_path)
     assert main(["--config", str(file), "doctor", "--fix"]) == 0
     assert config.load(file).video_metadata.ffprobe_path == str(probe) and "ffprobe version 1" in capsys.readouterr().out
 
